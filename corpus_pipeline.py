@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again by its runner."""
+"""The corpus pipeline: stages over ``documents``, each written and read again by its runner.
+
+Every stage works on all rows that the one before kept, and all but the last return the columns of
+``documents``. Labels, where a stage needs them, come from the ``labels`` table of the same folder.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import minhash_forest
+from quillon.llm import minhash_forest, quality_knn, secret_ledger, sentencepiece_codec, source_mixing
 from quillon.tables import materialize, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_knn.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return minhash_forest.keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("minhash_near_dedup", deduplicate)]
+def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the text; every document stays."""
+    return secret_ledger.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that sources come near their target weights."""
+    return source_mixing.repeat(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_pieces, piece_ids, round_trip) of each row of the mix."""
+    encoded = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), check=True)
+    return encoded.select("doc_id", "source", "n_pieces", "piece_ids", "round_trip")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_knn", classify),
+    ("minhash_near_dedup", deduplicate),
+    ("secret_scan", scan_secrets),
+    ("source_mixing", mix_sources),
+    ("sentencepiece", tokenize),
+]
 
 #: The stages train, hash and tokenise in ways SQL cannot express; tests compare with brute force.
 ORACLE_SQL = None
