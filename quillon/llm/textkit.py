@@ -34,7 +34,7 @@ class Rolling:
     def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
         self.table = rng.integers(1, 2**63, 256, dtype=_U) * _U(2) + _U(1)
-        self.base = int(rng.integers(1, 2**62)) * 8 + 5
+        self.base = (int(rng.integers(1, 2**62)) * 8 + 5) % 2**64
         self.inverse = pow(self.base, -1, 2**64)
         self.pow = self.back = np.ones(1, _U)
 
@@ -42,7 +42,7 @@ class Rolling:
         if len(self.pow) <= n:
             n = max(n + 1, SLICE_BYTES + 1)
             for name, base in (("pow", self.base), ("back", self.inverse)):
-                p = np.full(n, base, _U)
+                p = np.full(n, _U(base))
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
 
