@@ -43,15 +43,15 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", day: str
     their row. Without entries nothing is blocked.
     """
     kept = captures.drop("blocked", "n_active", "lists", "rules")
-    asked = kept.select(F.col(url).alias("u"), F.col(day).alias("d")).where("u is not null and d is not null").distinct()
-    keyed = asked.withColumn("key", F.explode(F.array_distinct(url_keys(F.col("u")))))
-    active = keyed.join(validity(entries), "key").where("d >= from_day and (to_day is null or d < to_day)")
-    found = active.groupBy("u", "d").agg(
-        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.array_join(F.array_sort(F.collect_set("key")), ",").alias("rules")
+    asked = kept.select(F.col(url).alias("__u"), F.col(day).alias("__d")).where("__u is not null and __d is not null").distinct()
+    keyed = asked.withColumn("key", F.explode(F.array_distinct(url_keys(F.col("__u")))))
+    active = keyed.join(validity(entries), "key").where("__d >= from_day and (to_day is null or __d < to_day)")
+    found = active.groupBy("__u", "__d").agg(
+        F.count("*").alias("__n"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("__lists"), F.array_join(F.array_sort(F.collect_set("key")), ",").alias("__rules")
     )
-    joined = kept.join(found, (kept[url] == found["u"]) & (kept[day] == found["d"]), "left").drop("u", "d")
-    n = F.coalesce("n", F.lit(0))
-    return joined.withColumn("blocked", n > 0).withColumn("n_active", n).withColumn("lists", F.coalesce("lists", F.lit(""))).withColumn("rules", F.coalesce("rules", F.lit(""))).drop("n")
+    joined = kept.join(found, (kept[url] == found["__u"]) & (kept[day] == found["__d"]), "left")
+    n, none = F.coalesce("__n", F.lit(0)), F.lit("")
+    return joined.select(*[kept[c] for c in kept.columns], (n > 0).alias("blocked"), n.alias("n_active"), F.coalesce("__lists", none).alias("lists"), F.coalesce("__rules", none).alias("rules"))
 
 
 def _draw(key: Column, start: int, size: int, modulus: int) -> Column:
