@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +38,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans that were materialized and are no longer used."""
-    spark._jvm.System.gc()
+    for _ in range(2):  # first Python's handles of plans, then the plans
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def input_bytes(df: DataFrame) -> int:
