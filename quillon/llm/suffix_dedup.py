@@ -31,7 +31,7 @@ from quillon.llm.textkit import Rolling, mix, slices
 from quillon.tables import input_bytes, materialize, release
 
 LENGTH = 400
-ORDER = 17
+ORDER = 13
 PERIOD = ORDER * ORDER + ORDER + 1
 SAMPLE = LENGTH - PERIOD + 1
 #: Samples that are settled together before they are sent; text bytes of a block; samples of a bucket.
