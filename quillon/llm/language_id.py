@@ -1,6 +1,6 @@
 """Language identification by nearest centroids.
 
-Texts are unit TF-IDF vectors of hashed byte n-grams. Each language has several centroids, found by
+Texts are unit TF-IDF vectors of hashed byte n-grams of their letters. Each language has several centroids, found by
 spherical k-means on a bounded sample (PER_LANGUAGE texts of each). A text has the language of the
 centroid with the highest cosine; ``rejected`` marks texts farther from it than nearly all training
 texts are from theirs.

@@ -1,7 +1,7 @@
 """Quality classification by nearest-neighbour voting.
 
 A bounded sample of labelled texts (PER_CLASS of each label) is reduced to latent semantic vectors: unit
-TF-IDF vectors of hashed byte n-grams, projected on the leading right singular vectors. The labelled
+TF-IDF vectors of hashed byte n-grams and of style, projected on the leading right singular vectors. The labelled
 vectors, of a size fixed by these parameters, travel with the task. Every text is compared with all of
 them by exact cosine products, block by block, and its NEIGHBOURS nearest vote with their similarity,
 weighted so that the sample's balance counts as that of all labels.
