@@ -1,14 +1,15 @@
 """MinHash near-dedup by an LSH forest.
 
 Every distinct shingle set gets a signature of ``TREES * DEPTH`` minima. Each tree is a sorted order of
-signatures; documents that share the longest prefixes in some tree are candidates. A region of a tree
-(documents with one prefix of BASE minima) that holds more than REGION sets is cut at deeper prefixes,
-so the depth adapts to the density. Candidates whose signatures agree enough are compared on their
+signatures; documents that share the longest prefixes in some tree are candidates. The order is worked
+on by regions (documents with one prefix of BASE minima). In a dense region neighbours share more, so a
+window of its order reaches only the deeper prefixes; a region of more than REGION sets is also cut at
+these, so the depth adapts to the density. Candidates whose signatures agree enough are compared on their
 full shingle sets; only a confirmed pair is a link.
 
-Links are verified in rounds. The first verifies a few best candidates of each set, which already
-joins most groups; the following rounds look only at candidates whose components still differ, and the
-last takes all of these. A pair inside one component is skipped because it cannot change the result.
+Links are verified in rounds. The first verifies a few best candidates of each set among NEAR neighbours
+in each order, which already joins most groups; the following rounds take all sets of a region, but only
+pairs whose components still differ, and the last verifies all of these. A pair inside one component is skipped because it cannot change the result.
 A region that was cut is searched across its cuts too: every set outside the region's largest
 component meets every other set of the region.
 """
@@ -26,12 +27,12 @@ from quillon.llm.components import connected_components
 from quillon.llm.textkit import Shingler, slices
 from quillon.tables import materialize, release
 
-TREES, DEPTH, BASE = 16, 8, 4
+TREES, DEPTH, BASE, DEEPER = 16, 16, 4, (6, 8)
 #: Rows of a region that are compared with one another; more are cut at deeper prefixes, then by hash.
-REGION = 1024
-#: A pair at similarity 0.85 agrees in 128 minima less than this with a chance under one in 1,000.
-EST_LEAST, EST_SURE = 0.74, 0.93
-_ROW = 128
+REGION, NEAR = 4096, 32
+#: A pair at similarity 0.85 agrees in 256 minima less than this with a chance of about one in 500.
+EST_LEAST, EST_SURE = 0.785, 0.93
+_ROW = TREES * DEPTH
 
 _SIG = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, k4 array<long>, k6 array<long>, k8 array<long>"
 
@@ -40,7 +41,7 @@ def _signer():
     rng = np.random.default_rng(2024)
     mul = rng.integers(0, 2**31, (TREES * DEPTH, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     add = rng.integers(0, 2**32, (TREES * DEPTH, 1), dtype=np.uint32)
-    fold = rng.integers(1, 2**63, (3, DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    fold = rng.integers(1, 2**63, (3, DEEPER[-1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     tree = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def sign(sets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -50,7 +51,7 @@ def _signer():
             np.minimum(low, (x[None, i : i + 4096] * mul + add).min(axis=1), out=low)
         m = low.reshape(TREES, DEPTH).astype(np.uint64)
         keys = []
-        for row, depth in enumerate((BASE, 6, 8)):
+        for row, depth in enumerate((BASE, *DEEPER)):
             k = (m[:, :depth] * fold[row, :depth]).sum(axis=1, dtype=np.uint64) + tree
             k ^= k >> np.uint64(29)
             keys.append((k * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
@@ -94,8 +95,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _SIG)
 
 
-def _pairs_in(mat: np.ndarray, size: np.ndarray, key_end: np.ndarray, comp: np.ndarray | None):
-    """Passing pairs (i, j, estimate) of rows within one key; key_end[i]: row after the last of i's key."""
+def _pairs_in(mat: np.ndarray, size: np.ndarray, key_end: np.ndarray, comp: np.ndarray | None, trees: np.ndarray, own: np.ndarray):
+    """Passing pairs (i, j, estimate) of rows within one key; key_end[i]: row after the last of i's key.
+    Without ``comp`` only NEAR neighbours, and the first row of the key, are compared. With it, a pair
+    that shares regions of several trees counts in the first of these only; ``trees`` holds the regions
+    of each row and ``own`` the one at hand."""
     n, out = len(mat), []
     length = key_end - np.arange(n)
     widest = int(length.max(initial=0))
@@ -106,10 +110,22 @@ def _pairs_in(mat: np.ndarray, size: np.ndarray, key_end: np.ndarray, comp: np.n
         if comp is not None:
             ok &= comp[i] != comp[j]
         i, j = i[ok], j[ok]
+        if comp is not None and len(i):
+            ok = trees[i, (trees[i] == trees[j]).argmax(axis=1)] == own[i]
+            i, j = i[ok], j[ok]
+        if not len(i):
+            return
         est = ((mat[i] == mat[j]).sum(axis=1) / _ROW * 256 - 1) / 255
         ok = est >= EST_LEAST
         out.append((i[ok], j[ok], est[ok]))
 
+    if comp is None and widest > NEAR:
+        first = np.flatnonzero(np.concatenate([[True], key_end[1:] != key_end[:-1]]))
+        head = np.repeat(first, np.diff(np.append(first, n)))
+        far = np.flatnonzero(np.arange(n) - head > NEAR)
+        for at in range(0, len(far), 50_000):
+            keep(head[far[at : at + 50_000]], far[at : at + 50_000])
+        widest = NEAR + 1
     for step in range(1, widest):
         i = np.flatnonzero(length > step)
         for at in range(0, len(i), 50_000):
@@ -146,7 +162,8 @@ def _candidates(entries: DataFrame, most: int | None, use_comp: bool) -> DataFra
             last = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
             end = last[np.searchsorted(last, np.arange(len(key)), "right")]
             comp = t.column("comp").to_numpy() if use_comp else None
-            i, j = _thin(*_pairs_in(mat, size, end, comp), most)
+            trees = t.column("trees").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+            i, j = _thin(*_pairs_in(mat, size, end, comp, trees, t.column("k4").to_numpy()), most)
             a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -161,7 +178,7 @@ def _candidates(entries: DataFrame, most: int | None, use_comp: bool) -> DataFra
         if held is not None and len(held):
             yield work(held)
 
-    rows = entries.select("key", "id", "n", "sig", "comp").repartition("key").sortWithinPartitions("key", "id")
+    rows = entries.select("key", "k4", "k6", "k8", "id", "n", "sig", "comp", "trees").repartition("key").sortWithinPartitions("key", "k6", "k8", "id")
     return rows.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
@@ -217,16 +234,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = materialize(trees.join(shared, "k4"), "forest-entries")
     big = entries.where(F.col("c4") > REGION)
     cut = any(True for _ in big.select("k4").limit(1).toLocalIterator())
-    entries = entries.where(F.col("c4") <= REGION).select(F.col("k4").alias("key"), "k4", "id", F.lit(False).alias("cut"))
+    entries = entries.where(F.col("c4") <= REGION).select(F.col("k4").alias("key"), "k4", "k6", "k8", "id", F.lit(False).alias("cut"))
     if cut:
         c6, c8 = (big.groupBy(k).agg(F.count("*").alias(c)) for k, c in (("k6", "c6"), ("k8", "c8")))
         parts = F.ceil(F.col("c8") / REGION)
         key = F.when(F.col("c6") <= REGION, F.col("k6")).when(F.col("c8") <= REGION, F.col("k8")).otherwise(F.xxhash64("k8", F.pmod(F.xxhash64("id"), parts)))
-        split = big.join(c6, "k6").join(c8, "k8").select(key.alias("key"), "k4", "id", F.lit(True).alias("cut"))
-        head = big.groupBy("k4").agg(F.min("id").alias("id"))
-        heads = split.select("key", "k4").distinct().join(head, "k4").select("key", "k4", "id", F.lit(True).alias("cut"))
+        split = big.join(c6, "k6").join(c8, "k8").select(key.alias("key"), "k4", "k6", "k8", "id", F.lit(True).alias("cut"))
+        head = big.groupBy("k4").agg(F.min(F.struct("id", "k6", "k8")).alias("h"))
+        heads = split.select("key", "k4").distinct().join(head, "k4").select("key", "k4", "h.k6", "h.k8", "h.id", F.lit(True).alias("cut"))
         entries = entries.unionByName(split).unionByName(heads)
-    facts = first.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id"])
+    facts = first.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", F.col("k4").alias("trees")).dropDuplicates(["id"])
     entries = materialize(entries.distinct().join(facts, "id"), "forest-regions")
     pairs = materialize(_candidates(entries.withColumn("comp", F.lit(0).cast("long")), 2, False), "forest-pairs")
     live = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
@@ -250,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             placed = materialize(placed, "forest-mixed")
             wide = placed.where("cut")
             main = wide.groupBy("k4", "comp").agg(F.count_distinct("id").alias("c")).groupBy("k4").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-            minor = wide.join(main, "k4").where("comp != main").select("k4", "id", "cut", "n", "sig", "comp").distinct()
+            minor = wide.join(main, "k4").where("comp != main").select("k4", "k6", "k8", "id", "cut", "n", "sig", "comp", "trees").distinct()
             keys = wide.select("key", "k4").distinct()
             placed = placed.unionByName(keys.join(minor, "k4").select(*placed.columns)).distinct()
         more = _candidates(placed, most, True).join(seen, ["a", "b"], "left_anti")
