@@ -275,6 +275,27 @@ ORACLES: dict[str, str] = {
         m="SELECT dim, label, avg(abs(value)) AS v FROM e WHERE dim < 10 GROUP BY ALL", ex="SELECT dim, label, exp(greatest(-3, least(3, (v - avg(v) OVER ()) / stddev_samp(v) OVER ()))) AS x FROM m",
     ),
     "annotation_wide": _sql("SELECT cell_id, nat.label AS nation, reg.label AS region FROM nat JOIN reg USING (cell_id)", "nat", "reg"),
+    "set_overlap": _sql(
+        f"SELECT set_name, n, {_r('CASE WHEN k > q THEN coalesce(asked * (CASE WHEN k > 0 THEN k * ln(k / q) ELSE 0 END + CASE WHEN k < 1 THEN (1 - k) * ln((1 - k) / (1 - q)) ELSE 0 END), 0) / ln(10.0) ELSE 0 END')} AS value FROM h",
+        f="SELECT p_partkey FROM part WHERE p_size <= 20", c="SELECT p_brand AS set_name, count(*) AS size, count(*) FILTER (p_size <= 20) AS n FROM part GROUP BY 1",
+        h="SELECT set_name, n, (SELECT count(*) FROM f)::DOUBLE AS asked, n / (SELECT count(*) FROM f)::DOUBLE AS k, size / (SELECT count(*) FROM part)::DOUBLE AS q FROM c WHERE n > 0",
+    ),
+    "combined_activities": _sql(
+        f'SELECT grp AS "group", set_name, {_r("ln(sum(exp(ln(10.0) * value))) - ln(count(*))")} AS value FROM (SELECT * FROM ea UNION ALL SELECT * FROM eb) GROUP BY grp, set_name', "ns", "n",
+        sa="SELECT p_type AS set_name, p_partkey AS feature_id FROM part", sb="SELECT p_type AS set_name, p_partkey AS feature_id FROM part WHERE p_size <= 25",
+        m=_no_row_scaling("ns", "sa")["m"],
+        **{{"ps": "psa", "hit": "hita", "enr": "ea"}[k]: t.replace("FROM ps CROSS", "FROM psa CROSS").replace("JOIN hit ", "JOIN hita ") for k, t in _no_row_scaling("ns", "sa").items() if k != "m"},
+        **{{"ps": "psb", "hit": "hitb", "enr": "eb"}[k]: t.replace("FROM ps CROSS", "FROM psb CROSS").replace("JOIN hit ", "JOIN hitb ") for k, t in _no_row_scaling("ns", "sb").items() if k != "m"},
+    ),
+    "annotate_clusters": _sql(
+        f"SELECT cluster, label, 'Cluster ' || cluster || ' (' || label || ')' AS full_name, {_r('value')} AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(value, 9) DESC, label) AS r FROM v) WHERE r = 1", "reg",
+        b="SELECT s_suppkey AS cell_id, (s_nationkey % 7)::BIGINT AS cluster FROM supplier", c="SELECT label, cluster, count(*) AS n FROM reg JOIN b USING (cell_id) GROUP BY ALL",
+        na="SELECT label, sum(n)::DOUBLE AS na FROM c GROUP BY 1", nb="SELECT cluster, sum(n)::DOUBLE AS nb FROM c GROUP BY 1",
+        f="SELECT label, cluster, nb, coalesce(n, 0) / nb AS k, na / (SELECT sum(n) FROM c)::DOUBLE AS q FROM na CROSS JOIN nb LEFT JOIN c USING (label, cluster)",
+        v="SELECT cluster, label, CASE WHEN k > q THEN coalesce(nb * (CASE WHEN k > 0 THEN k * ln(k / q) ELSE 0 END + CASE WHEN k < 1 THEN (1 - k) * ln((1 - k) / (1 - q)) ELSE 0 END), 0) ELSE 0 END AS value FROM f",
+    ),
+    "selected_means": _sql(f"SELECT feature_id, label, {_r('sum(value) / any_value(n)')} AS value FROM y JOIN nat USING (cell_id) JOIN (SELECT label, count(*) AS n FROM nat GROUP BY 1) USING (label) WHERE feature_id IN (SELECT p_partkey FROM part WHERE p_size <= 5) GROUP BY ALL", "y", "nat"),
+    "signature_profile": _sql(f"SELECT e.cell_id AS feature_id, p.label AS arch, {_r('sum(e.value * p.v)')} AS value FROM e JOIN p USING (dim) WHERE e.cell_id < 50 GROUP BY ALL", "e", p="SELECT label, dim, sum(0.01 * value) AS v FROM e GROUP BY ALL"),
     "rgb_to_lab": _sql(f"SELECT cell_id, {_r('l')} AS l, {_r('ca')} AS a, {_r('cb')} AS b FROM lch", "lch"),
     "lab_to_rgb": _sql(f"SELECT cell_id, {_r('r')} AS r, {_r('g')} AS g, {_r('b')} AS b FROM gam", src_="SELECT vec_id AS cell_id, 50 + 100 * embedding[1]::DOUBLE AS l, 60 * embedding[2]::DOUBLE AS ca, 60 * embedding[3]::DOUBLE AS cb FROM embeddings", **_lab_to_rgb("src_", "cell_id")),
     "color_blend": _sql(f'SELECT grp AS "group", {_r("greatest(0, least(1, r))")} AS r, {_r("greatest(0, least(1, g))")} AS g, {_r("greatest(0, least(1, b))")} AS b FROM gam', "lch", mean_="SELECT grp, avg(l) AS l, avg(ca) AS ca, avg(cb) AS cb FROM lch GROUP BY 1", **_lab_to_rgb("mean_", "grp")),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import color
 from quillon.functions.scalars import rounded
-from quillon.operators import decompose, filters, graph, labels, layout, linalg, normalize, specificity
+from quillon.operators import annotate, decompose, filters, graph, labels, layout, linalg, normalize, specificity
 from quillon.sources import matrix
 from quillon.tables import materialize, table
 
@@ -481,6 +481,46 @@ def annotation_wide(spark, d):
     return labels.annotations_wide(store, ["nation", "region"])
 
 
+@query
+def set_overlap(spark, d):
+    some = table(spark, d, "part").where("p_size <= 20").select(F.col("p_partkey").alias("feature_id"))
+    return rows(annotate.set_overlap(some, brands(spark, d), sizes(spark, d)[0], None), "set_name", "n", value="value")
+
+
+@query
+def combined_activities(spark, d):
+    p = table(spark, d, "part")
+    kinds = p.select(F.col("p_type").alias("set_name"), F.col("p_partkey").alias("feature_id"))
+    some = p.where("p_size <= 25").select(F.col("p_type").alias("set_name"), F.col("p_partkey").alias("feature_id"))
+    return rows(annotate.combined_activities(nation_sums(spark, d), {"all": kinds, "small": some}, sizes(spark, d)[0]), "group", "set_name", value="value")
+
+
+@query
+def annotate_clusters(spark, d):
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), (F.col("s_nationkey") % 7).cast("long").alias("label"))
+    return rows(annotate.annotate_clusters(b, regions(spark, d)), "cluster", "label", "full_name", confidence="confidence")
+
+
+@query
+def phenotype_features(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"), (F.col("s_acctbal") > 0).alias("case")).join(regions(spark, d).withColumnRenamed("label", "cluster"), "cell_id")
+    return rows(annotate.phenotype_features(lognorm(spark, d), s), "cluster", "feature_id", log_fc="log_fc", t="t", p="p", fdr="fdr")
+
+
+@query
+def selected_means(spark, d):
+    some = table(spark, d, "part").where("p_size <= 5").select(F.col("p_partkey").alias("feature_id"))
+    return rows(annotate.selected_means(lognorm(spark, d), nations(spark, d), some), "feature_id", "label", value="value")
+
+
+@query
+def signature_profile(spark, d):
+    v = vectors(spark, d)
+    load = v.where("cell_id < 50").select(F.col("cell_id").alias("feature_id"), "vec")
+    c = table(spark, d, "embeddings").select(F.col("label").alias("arch"), F.col("vec_id").alias("cell_id"), F.lit(0.01).alias("value"))
+    return rows(annotate.signature_profile(load, v, c), "feature_id", "arch", value="value")
+
+
 # --- colours ------------------------------------------------------------------------------------------
 
 

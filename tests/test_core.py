@@ -230,3 +230,18 @@ def test_stream_projects_new_cells(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.cell_id, r.arch): r.value for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got[1, 1] == pytest.approx(1) and got[2, 1] == pytest.approx(0.5)
+
+
+def test_student_tails_and_phenotypes(spark):
+    from quillon.operators import annotate
+
+    assert annotate._student_tail(2.0, 10) == pytest.approx(0.036694, abs=1e-6)
+    assert annotate._student_tail(-1.0, 3) == pytest.approx(1 - 0.195501, abs=1e-6)
+    assert annotate._student_tail(40.0, 7.5) < 1e-8 and annotate._student_tail(0.0, 5) == pytest.approx(0.5)
+    cells = spark.createDataFrame([(i, "k", i < 12, f"p{i % 2}{i < 12}") for i in range(24)], "cell_id long, cluster string, case boolean, individual string")
+    rng = np.random.default_rng(9)
+    assay = spark.createDataFrame([(f, i, float(rng.random() + (2 if f == "up" and i < 12 else 0))) for f in ("up", "flat") for i in range(24)], "feature_id string, cell_id long, value double")
+    one = {r.feature_id: r for r in annotate.phenotype_features(assay, cells).collect()}
+    assert one["up"].p < 1e-6 < 0.01 < one["flat"].p and one["up"].fdr <= 2 * one["up"].p + 1e-12
+    many = {r.feature_id: r for r in annotate.phenotype_features_by_individual(assay, cells, 5).collect()}
+    assert many["up"].p < 1e-3 and many["up"].log_fc > 4
