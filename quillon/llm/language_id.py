@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.ngram_vectors import NgramCounter, bounded_sample, count_vectors, inverse_frequency, unit_rows, weigh
+from quillon.llm.ngram_vectors import NgramCounter, bounded_sample, collect_vectors, count_vectors, inverse_frequency, unit_rows, weigh
 from quillon.llm.textkit import slices
 
 SIZES, DIMS = (2, 3, 4), 4096
@@ -61,11 +61,8 @@ def fit(docs: DataFrame) -> CentroidModel | None:
     ids = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", F.col("lang").alias("label"))
     drawn = bounded_sample(ids, "label", PER_LANGUAGE).select("doc_id").distinct()
     picked = docs.where("text is not null and lang is not null").join(F.broadcast(drawn), "doc_id", "left_semi")
-    rows = count_vectors(picked.select("text", F.col("lang").alias("label")), NgramCounter(SIZES, DIMS, True), "string").collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r["label"], bytes(r["counts"])))
-    return CentroidModel([r["label"] for r in rows], np.stack([np.frombuffer(r["counts"], np.int32) for r in rows]))
+    found, counts = collect_vectors(count_vectors(picked.select("text", F.col("lang").alias("label")), NgramCounter(SIZES, DIMS, True), "string"))
+    return CentroidModel(found, counts) if found else None
 
 
 def has_letter(text: np.ndarray) -> bool:

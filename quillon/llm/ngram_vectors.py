@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from quillon.llm.textkit import Rolling, slices, words
 
 
+#: Counts of more labels than this are joined by a shuffle.
+BROADCAST_LABELS = 10_000
+
 #: Measures of style, steps of each, places that a step fills, and the count it has there.
 MEASURES, STEPS, PLACES, STYLE_COUNT = 5, 10, 16, 20
 
@@ -81,8 +84,10 @@ class NgramCounter:
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    """``x`` with rows of length 1, in place; empty rows stay empty."""
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    x /= np.where(norm > 0, norm, 1)
+    return x
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -90,7 +95,8 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = counts.astype(np.float32)
     np.log(x, out=x, where=x > 0)
     x += counts > 0
-    return unit_rows(x * idf)
+    x *= idf
+    return unit_rows(x)
 
 
 def inverse_frequency(counts: np.ndarray) -> np.ndarray:
@@ -98,22 +104,31 @@ def inverse_frequency(counts: np.ndarray) -> np.ndarray:
 
 
 def count_vectors(docs: DataFrame, counter: NgramCounter, label_type: str) -> DataFrame:
-    """(label, counts) of ``docs(text, label)``, counts as packed 32-bit integers."""
+    """(label, counts) of ``docs(text, label)``, counts as packed 16-bit integers, 65,535 at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in slices(batch.column(0)):
-                packed = [counter(data[a:b]).astype(np.int32).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+                packed = [np.minimum(counter(data[a:b]), 65535).astype(np.uint16).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["label", "counts"])
 
     return docs.select("text", "label").mapInArrow(run, f"label {label_type}, counts binary")
 
 
+def collect_vectors(vectors: DataFrame) -> tuple[list, np.ndarray]:
+    """(labels, counts) of a bounded sample, in an order that does not depend on its partitions."""
+    rows = sorted(((r["label"], bytes(r["counts"])) for r in vectors.collect()))
+    return [x for x, _ in rows], np.stack([np.frombuffer(c, np.uint16) for _, c in rows]) if rows else np.zeros((0, 0), np.uint16)
+
+
 def bounded_sample(rows: DataFrame, label: str, most: int, key: str = "doc_id") -> DataFrame:
     """At most ``most`` rows of each label: those with the smallest hash of ``key``. A label's share of
     hashes is set from its count first, so that no label's rows are ever gathered to be ordered."""
     u = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30))
     n = rows.groupBy(label).agg(F.count("*").alias("__n")).where(F.col(label).isNotNull())
+    counted = n.collect()  # one row for each label
+    n = rows.sparkSession.createDataFrame(counted, n.schema)
+    n = F.broadcast(n) if len(counted) <= BROADCAST_LABELS else n
     cut = n.select(label, F.ceil(F.lit(float(1 << 30)) * F.least(F.lit(1.0), 1.25 * most / F.col("__n") + 30 / F.col("__n"))).alias("__cut"))
     drawn = rows.join(cut, label).withColumn("__u", u).where("__u < __cut")
     order = Window.partitionBy(label).orderBy("__u", key)

@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.language_id import fold
-from quillon.llm.ngram_vectors import NgramCounter, bounded_sample, count_vectors, inverse_frequency, unit_rows, weigh
+from quillon.llm.ngram_vectors import NgramCounter, bounded_sample, collect_vectors, count_vectors, inverse_frequency, unit_rows, weigh
 from quillon.llm.textkit import slices
 
 SIZES, DIMS, LATENT = (1, 2, 3), 4096, 64
-PER_CLASS, NEIGHBOURS, SHARPNESS, THRESHOLD = 1500, 15, 8.0, 0.3
+PER_CLASS, NEIGHBOURS, SHARPNESS, THRESHOLD = 1000, 15, 8.0, 0.3
 
 
 class NeighbourModel:
@@ -57,11 +57,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> NeighbourModel | None:
     overall = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     drawn = bounded_sample(known, "label", PER_CLASS)
     picked = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    rows = count_vectors(picked, NgramCounter(SIZES, DIMS, False), "int").collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r["label"], bytes(r["counts"])))
-    return NeighbourModel(np.array([r["label"] for r in rows]), np.stack([np.frombuffer(r["counts"], np.int32) for r in rows]), overall)
+    found, counts = collect_vectors(count_vectors(picked, NgramCounter(SIZES, DIMS, False), "int"))
+    return NeighbourModel(np.array(found), counts, overall) if found else None
 
 
 def score(docs: DataFrame, model: NeighbourModel | None) -> DataFrame:
