@@ -35,7 +35,7 @@ ORDER = 13
 PERIOD = ORDER * ORDER + ORDER + 1
 SAMPLE = LENGTH - PERIOD + 1
 #: Samples that are settled together before they are sent; text bytes of a block; samples of a bucket.
-BATCH, BLOCK_BYTES, BUCKET = 1_000_000, 12 << 20, 1_000_000
+BATCH, BLOCK_BYTES, BUCKET = 500_000, 8 << 20, 500_000
 FULL, PROBE, STRING = 1, 2, 3
 _U = np.uint64
 
@@ -265,13 +265,15 @@ def _finish(docs: pa.Table, marks: pa.Table) -> pa.Table:
     for lo, _, data, off in slices(docs.column("text")) if len(docs) else ():
         for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
             size, text = b - a, data[a:b]
-            gone = np.zeros(size, bool)
-            for kind, p in found.get(keys[lo + i], ()):
-                if kind == FULL:
-                    start, end = np.maximum(0, p - PERIOD + 1), np.minimum(size, p + SAMPLE + PERIOD - 1)
-                else:
-                    start, end = p, p + LENGTH
-                gone |= _covered(size, start, end)
+            hits = found.get(keys[lo + i])
+            if hits is None:
+                gone = np.zeros(size, bool)
+            else:
+                none = np.zeros(0, np.int64)
+                p = np.concatenate([none, *(x for kind, x in hits if kind == FULL)])
+                q = np.concatenate([none, *(x for kind, x in hits if kind == STRING)])
+                start = np.concatenate([np.maximum(0, p - PERIOD + 1), q])
+                gone = _covered(size, start, np.concatenate([np.minimum(size, p + SAMPLE + PERIOD - 1), q + LENGTH]))
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
             for c, x in zip(cols, (ids[lo + i], size, int(gone.sum()), spans, hashlib.sha256(text[~gone].tobytes()).hexdigest()), strict=True):
                 c.append(x)
