@@ -22,8 +22,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return minhash_forest.keep_one(docs)
+    """One document of each group of near duplicates, at similarity 0.8 of word shingles, stays."""
+    return minhash_forest.keep_one(docs, similarity=0.8)
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,9 @@ component meets every other set of the region.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,34 @@ from quillon.tables import materialize, release
 TREES, DEPTH, BASE, DEEPER = 16, 16, 4, (6, 8)
 #: Rows of a region that are compared with one another; more are cut at deeper prefixes, then by hash.
 REGION, NEAR = 4096, 32
-#: A pair at similarity 0.85 agrees in 256 minima less than this with a chance of about one in 500.
-EST_LEAST, EST_SURE = 0.785, 0.93
+#: The chance that a pair just at the similarity agrees in too few minima to be compared; a sure estimate.
+MISS, EST_SURE = 1 / 500, 0.93
 _ROW = TREES * DEPTH
 
 _SIG = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, k4 array<long>, k6 array<long>, k8 array<long>"
 
 
+def ratio_of(similarity: float) -> tuple[int, int]:
+    """``similarity`` as it is written in decimals, as a fraction of whole numbers."""
+    return Fraction(str(similarity)).as_integer_ratio()
+
+
+def least_estimate(similarity: float) -> float:
+    """The estimate below which pairs are not compared. Of pairs at ``similarity`` a share of at most MISS
+    has less: the bytes of their minima agree independently, by chance in one of 256 where the minima differ."""
+    p, below = similarity + (1 - similarity) / 256, 0.0
+    for m in range(_ROW + 1):
+        below += math.comb(_ROW, m) * p**m * (1 - p) ** (_ROW - m)
+        if below > MISS:
+            return (m / _ROW * 256 - 1) / 255
+    return 1.0
+
+
+def tree_recall(similarity: float) -> float:
+    """The chance that two sets at ``similarity`` share a region in some tree."""
+    return 1 - (1 - similarity**BASE) ** TREES
+
+
 def _signer():
     rng = np.random.default_rng(2024)
     mul = rng.integers(0, 2**31, (TREES * DEPTH, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -95,18 +118,19 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _SIG)
 
 
-def _pairs_in(mat: np.ndarray, size: np.ndarray, key_end: np.ndarray, comp: np.ndarray | None, trees: np.ndarray, own: np.ndarray):
+def _pairs_in(mat: np.ndarray, size: np.ndarray, key_end: np.ndarray, comp: np.ndarray | None, trees: np.ndarray, own: np.ndarray, similarity: float):
     """Passing pairs (i, j, estimate) of rows within one key; key_end[i]: row after the last of i's key.
     Without ``comp`` only NEAR neighbours, and the first row of the key, are compared. With it, a pair
     that shares regions of several trees counts in the first of these only; ``trees`` holds the regions
     of each row and ``own`` the one at hand."""
     n, out = len(mat), []
+    (num, den), least = ratio_of(similarity), least_estimate(similarity)
     length = key_end - np.arange(n)
     widest = int(length.max(initial=0))
 
     def keep(i, j):
         a, b = size[i], size[j]
-        ok = 100 * np.minimum(a, b) >= 85 * np.maximum(a, b)
+        ok = den * np.minimum(a, b) >= num * np.maximum(a, b)
         if comp is not None:
             ok &= comp[i] != comp[j]
         i, j = i[ok], j[ok]
@@ -116,7 +140,7 @@ def _pairs_in(mat: np.ndarray, size: np.ndarray, key_end: np.ndarray, comp: np.n
         if not len(i):
             return
         est = ((mat[i] == mat[j]).sum(axis=1) / _ROW * 256 - 1) / 255
-        ok = est >= EST_LEAST
+        ok = est >= least - 1e-9
         out.append((i[ok], j[ok], est[ok]))
 
     if comp is None and widest > NEAR:
@@ -150,7 +174,7 @@ def _thin(i: np.ndarray, j: np.ndarray, est: np.ndarray, most: int | None):
     return both[0], both[1]
 
 
-def _candidates(entries: DataFrame, most: int | None, use_comp: bool) -> DataFrame:
+def _candidates(entries: DataFrame, most: int | None, use_comp: bool, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) of ids that share a region, from ``entries(key, id, n, sig, comp)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +187,7 @@ def _candidates(entries: DataFrame, most: int | None, use_comp: bool) -> DataFra
             end = last[np.searchsorted(last, np.arange(len(key)), "right")]
             comp = t.column("comp").to_numpy() if use_comp else None
             trees = t.column("trees").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
-            i, j = _thin(*_pairs_in(mat, size, end, comp, trees, t.column("k4").to_numpy()), most)
+            i, j = _thin(*_pairs_in(mat, size, end, comp, trees, t.column("k4").to_numpy(), similarity), most)
             a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -182,8 +206,9 @@ def _candidates(entries: DataFrame, most: int | None, use_comp: bool) -> DataFra
     return rows.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= 85 * union."""
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose full sets have intersection >= similarity * union."""
+    num, den = ratio_of(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +217,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
                 z = np.sort(np.concatenate([u, v]))
                 both = int((z[1:] == z[:-1]).sum())
-                ok.append(100 * both >= 85 * (len(z) - both))
+                ok.append(den * both >= num * (len(z) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     one = pairs.join(sets.toDF("a", "sa"), "a")
@@ -210,11 +235,11 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, set binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of ``docs``.
 
     Words are runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z; a set holds the distinct 5-word
-    shingles, or the whole sequence of a shorter text. Sets link at Jaccard similarity 0.85 or more.
+    shingles, or the whole sequence of a shorter text. Sets link at Jaccard similarity ``similarity`` or more.
     Null or empty text has an empty set and links with nothing. A null id keeps its row, with its own
     null component and kept true. An id on several rows stands for all of them: a link of any counts,
     and each of its rows has the same component. Ties go to the smaller id. Other columns are ignored,
@@ -245,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         entries = entries.unionByName(split).unionByName(heads)
     facts = first.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", F.col("k4").alias("trees")).dropDuplicates(["id"])
     entries = materialize(entries.distinct().join(facts, "id"), "forest-regions")
-    pairs = materialize(_candidates(entries.withColumn("comp", F.lit(0).cast("long")), 2, False), "forest-pairs")
+    pairs = materialize(_candidates(entries.withColumn("comp", F.lit(0).cast("long")), 2, False, similarity), "forest-pairs")
     live = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     if cut:
         live = live.union(entries.where("cut").select("id"))
@@ -254,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = first.select(F.col("doc_id").alias("id"), "h1").join(live, "id", "left_semi").select("id").distinct()
     sets = materialize(_shingle_sets(base.where("doc_id is not null").withColumnRenamed("doc_id", "id").join(needed, "id", "left_semi").select("id", "text")), "forest-sets")
     release(spark)
-    links = materialize(_verify(pairs, sets), "forest-links")
+    links = materialize(_verify(pairs, sets, similarity), "forest-links")
     release(spark)
     seen = pairs
     entries = entries.join(live, "id", "left_semi")
@@ -270,11 +295,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             minor = wide.join(main, "k4").where("comp != main").select("k4", "k6", "k8", "id", "cut", "n", "sig", "comp", "trees").distinct()
             keys = wide.select("key", "k4").distinct()
             placed = placed.unionByName(keys.join(minor, "k4").select(*placed.columns)).distinct()
-        more = _candidates(placed, most, True).join(seen, ["a", "b"], "left_anti")
+        more = _candidates(placed, most, True, similarity).join(seen, ["a", "b"], "left_anti")
         more = materialize(more, "forest-pairs")
         if more.isEmpty():
             break
-        links = materialize(links.union(_verify(more, sets)), "forest-links")
+        links = materialize(links.union(_verify(more, sets, similarity)), "forest-links")
         seen = seen.union(more)
         release(spark)
     roots = connected_components(links.union(copies))
@@ -283,10 +308,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.85) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, all columns kept. Of several rows with
     one doc_id, one stays; rows without a doc_id stay."""
-    found = materialize(near_duplicates(docs), "forest-found")
+    found = materialize(near_duplicates(docs, similarity=similarity), "forest-found")
     gone = found.where("not kept").select("doc_id").distinct()
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     again = docs.join(twice.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -400,3 +400,35 @@ def test_near_duplicates_of_documents(spark):
     want = near_components(list(texts(spark).items()))
     got = {r.doc_id: r.component_id for r in QUERIES["op10_minhash_forest"](spark, SF).collect()}
     assert got == want
+
+
+def at_similarity(low: float, high: float, count: int) -> list[tuple[int, str]]:
+    """Pairs of texts whose similarity is at least ``low`` and below ``high``."""
+    rng, rows = np.random.default_rng(11), []
+    while len(rows) < 2 * count:
+        a = [f"v{x}" for x in rng.integers(0, 10_000, 150)]
+        b = list(a)
+        for p in rng.choice(29, int(rng.integers(2, 6)), replace=False):
+            b[int(p) * 5 + 2] = "edit"
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        if low <= len(x & y) / len(x | y) < high:
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    return rows
+
+
+def test_the_stage_links_from_0_8_and_the_query_from_0_85(spark):
+    import corpus_pipeline
+
+    rows = at_similarity(0.8, 0.85, 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.kept for r in minhash_forest.near_duplicates(df).collect())
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, df, SF).collect()} == set(range(0, 40, 2))
+
+
+def test_estimate_and_recall_follow_from_the_similarity():
+    rng = np.random.default_rng(5)
+    for similarity in (0.8, 0.85):
+        est = (rng.binomial(256, similarity + (1 - similarity) / 256, 200_000) - 1) / 255
+        assert (est < minhash_forest.least_estimate(similarity) - 1e-9).mean() <= 1.2 * minhash_forest.MISS
+        assert minhash_forest.tree_recall(similarity) > 0.9997
+    assert minhash_forest.ratio_of(0.85) == (17, 20) and minhash_forest.ratio_of(0.8) == (4, 5)
