@@ -10,6 +10,8 @@ full shingle sets; only a confirmed pair is a link.
 Links are verified in rounds. The first verifies a few best candidates of each set among NEAR neighbours
 in each order, which already joins most groups; the following rounds take all sets of a region, but only
 pairs whose components still differ, and the last verifies all of these. A pair inside one component is skipped because it cannot change the result.
+A set whose regions all have at most NEAR + 1 sets has met them all in the first round and goes on only if a
+pair passed. Shingle sets are built a round, for the pairs that it proposes.
 A region that was cut is searched across its cuts too: every set outside the region's largest
 component meets every other set of the region.
 """
@@ -259,27 +261,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = materialize(trees.join(shared, "k4"), "forest-entries")
     big = entries.where(F.col("c4") > REGION)
     cut = any(True for _ in big.select("k4").limit(1).toLocalIterator())
-    entries = entries.where(F.col("c4") <= REGION).select(F.col("k4").alias("key"), "k4", "k6", "k8", "id", F.lit(False).alias("cut"))
+    entries = entries.where(F.col("c4") <= REGION).select(F.col("k4").alias("key"), "k4", "k6", "k8", "id", F.lit(False).alias("cut"), (F.col("c4") > NEAR + 1).alias("wide"))
     if cut:
         c6, c8 = (big.groupBy(k).agg(F.count("*").alias(c)) for k, c in (("k6", "c6"), ("k8", "c8")))
         parts = F.ceil(F.col("c8") / REGION)
         key = F.when(F.col("c6") <= REGION, F.col("k6")).when(F.col("c8") <= REGION, F.col("k8")).otherwise(F.xxhash64("k8", F.pmod(F.xxhash64("id"), parts)))
-        split = big.join(c6, "k6").join(c8, "k8").select(key.alias("key"), "k4", "k6", "k8", "id", F.lit(True).alias("cut"))
+        split = big.join(c6, "k6").join(c8, "k8").select(key.alias("key"), "k4", "k6", "k8", "id", F.lit(True).alias("cut"), F.lit(True).alias("wide"))
         head = big.groupBy("k4").agg(F.min(F.struct("id", "k6", "k8")).alias("h"))
-        heads = split.select("key", "k4").distinct().join(head, "k4").select("key", "k4", "h.k6", "h.k8", "h.id", F.lit(True).alias("cut"))
+        heads = split.select("key", "k4").distinct().join(head, "k4").select("key", "k4", "h.k6", "h.k8", "h.id", F.lit(True).alias("cut"), F.lit(True).alias("wide"))
         entries = entries.unionByName(split).unionByName(heads)
     facts = first.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", F.col("k4").alias("trees")).dropDuplicates(["id"])
     entries = materialize(entries.distinct().join(facts, "id"), "forest-regions")
     pairs = materialize(_candidates(entries.withColumn("comp", F.lit(0).cast("long")), 2, False, similarity), "forest-pairs")
     live = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    if cut:
-        live = live.union(entries.where("cut").select("id"))
-    live = materialize(live.distinct(), "forest-live")
-    release(spark)
-    needed = first.select(F.col("doc_id").alias("id"), "h1").join(live, "id", "left_semi").select("id").distinct()
-    sets = materialize(_shingle_sets(base.where("doc_id is not null").withColumnRenamed("doc_id", "id").join(needed, "id", "left_semi").select("id", "text")), "forest-sets")
+    live = materialize(live.union(entries.where("wide").select("id")).distinct(), "forest-live")
     release(spark)
-    links = materialize(_verify(pairs, sets, similarity), "forest-links")
+    texts = base.where("doc_id is not null").withColumnRenamed("doc_id", "id").select("id", "text")
+
+    def verified(proposed: DataFrame) -> DataFrame:
+        needed = proposed.select(F.col("a").alias("id")).union(proposed.select(F.col("b").alias("id"))).distinct()
+        sets = materialize(_shingle_sets(texts.join(needed, "id", "left_semi")), "forest-sets")
+        release(spark)
+        return _verify(proposed, sets, similarity)
+
+    links = materialize(verified(pairs), "forest-links")
     release(spark)
     seen = pairs
     entries = entries.join(live, "id", "left_semi")
@@ -292,14 +297,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             placed = materialize(placed, "forest-mixed")
             wide = placed.where("cut")
             main = wide.groupBy("k4", "comp").agg(F.count_distinct("id").alias("c")).groupBy("k4").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-            minor = wide.join(main, "k4").where("comp != main").select("k4", "k6", "k8", "id", "cut", "n", "sig", "comp", "trees").distinct()
+            minor = wide.join(main, "k4").where("comp != main").select("k4", "k6", "k8", "id", "cut", "wide", "n", "sig", "comp", "trees").distinct()
             keys = wide.select("key", "k4").distinct()
             placed = placed.unionByName(keys.join(minor, "k4").select(*placed.columns)).distinct()
         more = _candidates(placed, most, True, similarity).join(seen, ["a", "b"], "left_anti")
         more = materialize(more, "forest-pairs")
         if more.isEmpty():
             break
-        links = materialize(links.union(_verify(more, sets, similarity)), "forest-links")
+        links = materialize(links.union(verified(more)), "forest-links")
         seen = seen.union(more)
         release(spark)
     roots = connected_components(links.union(copies))

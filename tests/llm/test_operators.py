@@ -432,3 +432,22 @@ def test_estimate_and_recall_follow_from_the_similarity():
         assert (est < minhash_forest.least_estimate(similarity) - 1e-9).mean() <= 1.2 * minhash_forest.MISS
         assert minhash_forest.tree_recall(similarity) > 0.9997
     assert minhash_forest.ratio_of(0.85) == (17, 20) and minhash_forest.ratio_of(0.8) == (4, 5)
+
+
+def test_regions_wider_than_the_neighbours_are_compared_whole(spark, monkeypatch):
+    """Texts on one template, whose only link may lie beyond NEAR in every order that they share."""
+    monkeypatch.setattr(minhash_forest, "NEAR", 1)
+    rng = np.random.default_rng(17)
+    template = [f"t{i}" for i in range(200)]
+    ids, rows = rng.permutation(200).tolist(), []
+    for pair in range(100):
+        at = [int(p) * 5 + 2 for p in rng.choice(39, 4, replace=False)]
+        for side in range(2):
+            w = list(template)
+            for n, p in enumerate(at):
+                w[p] = f"own{pair}x{n}" + ("" if n == 0 else f"s{side}")
+            rows.append((ids[2 * pair + side], " ".join(w)))
+    want = near_components(rows)
+    assert len(set(want.values())) == 100
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
