@@ -35,7 +35,7 @@ TREES, DEPTH, BASE, DEEPER = 16, 16, 4, (6, 8)
 #: Rows of a region that are compared with one another; more are cut at deeper prefixes, then by hash.
 REGION, NEAR = 4096, 32
 #: The chance that a pair just at the similarity agrees in too few minima to be compared; a sure estimate.
-MISS, EST_SURE = 1 / 500, 0.93
+MISS, EST_SURE = 1e-6, 0.93
 _ROW = TREES * DEPTH
 
 _SIG = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, k4 array<long>, k6 array<long>, k8 array<long>"
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = _candidates(placed, most, True, similarity).join(seen, ["a", "b"], "left_anti")
         more = materialize(more, "forest-pairs")
         if more.isEmpty():
-            break
+            continue
         links = materialize(links.union(verified(more)), "forest-links")
         seen = seen.union(more)
         release(spark)

@@ -451,3 +451,19 @@ def test_regions_wider_than_the_neighbours_are_compared_whole(spark, monkeypatch
     assert len(set(want.values())) == 100
     got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_the_last_round_runs_after_one_without_new_pairs(spark, monkeypatch):
+    """The rounds of few candidates propose nothing, as when the best of each set are pairs that failed."""
+    monkeypatch.setattr(minhash_forest, "NEAR", 1)
+    every = minhash_forest._candidates
+    monkeypatch.setattr(minhash_forest, "_candidates", lambda entries, most, *rest: every(entries, most, *rest).where(F.lit(most is None)))
+    text = " ".join(f"w{i}" for i in range(100))
+    df = spark.createDataFrame([(i, f"{text} end{i}") for i in range(3)], "doc_id long, text string")
+    assert {r.component_id for r in minhash_forest.near_duplicates(df).collect()} == {0}
+
+
+def test_the_estimate_cut_loses_one_in_a_million():
+    for similarity in (0.8, 0.85):
+        p, least = similarity + (1 - similarity) / 256, round(minhash_forest.least_estimate(similarity) * 255 + 1)
+        assert (np.random.default_rng(6).binomial(256, p, 2_000_000) < least).mean() <= 2e-6
