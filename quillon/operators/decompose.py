@@ -422,13 +422,9 @@ def mutual_neighbours_correction(cells: DataFrame, batches: DataFrame, k: int =
     merged = materialize(placed.where(F.col("batch") == order[0]).select("cell_id", "vec"), "merged")
     for b in order[1:]:
         new = materialize(placed.where(F.col("batch") == b).select("cell_id", "vec"), "joining")
-        union = merged.withColumn("side", F.lit(0)).union(new.withColumn("side", F.lit(1)))
-        near = graph.nearest(union.select("cell_id", F.col("vec").alias("p")), 4 * k, "l2")
-        sides = union.select("cell_id", "side")
-        across = near.join(sides, "cell_id").join(sides.toDF("neighbour", "other"), "neighbour").where("side != other")
-        w = Window.partitionBy("cell_id").orderBy("distance", "neighbour")
-        across = across.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-        a, c = across.where("side = 0").select(F.col("cell_id").alias("x"), F.col("neighbour").alias("y")), across.where("side = 1").select(F.col("cell_id").alias("y"), F.col("neighbour").alias("x"))
+        old, fresh = (m.select("cell_id", F.col("vec").alias("p")) for m in (merged, new))
+        a = graph.nearest(old, k, "l2", targets=fresh).select(F.col("cell_id").alias("x"), F.col("neighbour").alias("y"))
+        c = graph.nearest(fresh, k, "l2", targets=old).select(F.col("cell_id").alias("y"), F.col("neighbour").alias("x"))
         pairs = a.join(c, ["x", "y"]).join(merged.toDF("x", "vx"), "x").join(new.toDF("y", "vy"), "y").select("vx", "vy").toPandas()
         if len(pairs):
             at, to = np.stack(pairs["vy"].to_numpy()), np.stack(pairs["vx"].to_numpy())

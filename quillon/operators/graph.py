@@ -66,21 +66,22 @@ def _inner_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 _METRICS = {"jsd": _jsd_block, "l2": _euclidean_block, "ip": _inner_block}
 
 
-def nearest(vectors: DataFrame, k: int, metric: str = "jsd", digits: int = 9) -> DataFrame:
-    """(cell_id, neighbour, distance, rank): the k nearest other rows of ``vectors(cell_id, p)``.
+def nearest(vectors: DataFrame, k: int, metric: str = "jsd", digits: int = 9, targets: DataFrame | None = None) -> DataFrame:
+    """(cell_id, neighbour, distance, rank): the k nearest other rows of ``vectors(cell_id, p)``, or with
+    ``targets``, of these.
 
     Exact and blocked: vectors are packed into blocks, each pair of blocks is compared in one task,
     which keeps k candidates a row, and a window takes the k best of these. Distances are rounded
     before ordering, and ties go to the smaller id.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // BLOCK))
     kind = dict(vectors.dtypes)["cell_id"]
-    keyed = vectors.withColumn("block", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int"))
-    left = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
-    right = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
+    sides = [vectors, vectors if targets is None else targets]
+    blocks = [max(1, -(-x.count() // BLOCK)) for x in sides]
+    keyed = [x.withColumn("block", F.pmod(F.xxhash64("cell_id"), F.lit(m)).cast("int")) for x, m in zip(sides, blocks, strict=True)]
+    left = keyed[0].withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1)))).withColumn("side", F.lit(0))
+    right = keyed[1].withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1)))).withColumn("side", F.lit(1))
     both = left.select("side", "cell_id", "p", F.col("block").alias("x"), F.col("other").alias("y")).union(right.select("side", "cell_id", "p", F.col("other").alias("x"), F.col("block").alias("y")))
-    measure = _METRICS[metric]
+    measure, same = _METRICS[metric], targets is None
 
     def best(pair: pd.DataFrame) -> pd.DataFrame:
         a, b = pair[pair["side"] == 0], pair[pair["side"] == 1].sort_values("cell_id")
@@ -88,7 +89,8 @@ def nearest(vectors: DataFrame, k: int, metric: str = "jsd", digits: int = 9) ->
             return pd.DataFrame({"cell_id": [], "neighbour": [], "distance": []}).astype({"cell_id": pair["cell_id"].dtype, "neighbour": pair["cell_id"].dtype})
         d = np.round(measure(np.stack(a["p"].to_numpy()), np.stack(b["p"].to_numpy())), digits)
         ids, others = a["cell_id"].to_numpy(), b["cell_id"].to_numpy()
-        d[ids[:, None] == others[None, :]] = np.inf
+        if same:
+            d[ids[:, None] == others[None, :]] = np.inf
         m = min(k, d.shape[1])
         pick = np.argsort(d, axis=1, kind="stable")[:, :m]
         dist = np.take_along_axis(d, pick, 1)

@@ -245,3 +245,22 @@ def test_student_tails_and_phenotypes(spark):
     assert one["up"].p < 1e-6 < 0.01 < one["flat"].p and one["up"].fdr <= 2 * one["up"].p + 1e-12
     many = {r.feature_id: r for r in annotate.phenotype_features_by_individual(assay, cells, 5).collect()}
     assert many["up"].p < 1e-3 and many["up"].log_fc > 4
+
+
+def test_batches_far_apart_are_merged(spark):
+    """Every near cell is of the same batch; mutual pairs are those of brute force across batches."""
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(60, 3))
+    x = np.concatenate([a, rng.normal(size=(50, 3)) + 100])
+    cells = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "cell_id long, vec array<double>")
+    batches = spark.createDataFrame([(i, int(i >= 60)) for i in range(110)], "cell_id long, batch int")
+    got = np.array([r.vec for r in decompose.mutual_neighbours_correction(cells, batches, 5).orderBy("cell_id").collect()])
+    d = ((x[:60, None] - x[None, 60:]) ** 2).sum(2)
+    near = np.argsort(np.argsort(d, axis=1), axis=1) < 5
+    back = np.argsort(np.argsort(d, axis=0), axis=0) < 5
+    i, j = np.nonzero(near & back)
+    at, to = x[60 + j], x[i]
+    e = ((x[60:, None] - at[None]) ** 2).sum(2)
+    g = np.exp(-(e - e.min(axis=1, keepdims=True)) / (0.1 * at.var(axis=0).sum()))
+    assert len(i) and np.allclose(got[60:], x[60:] + g @ (to - at) / g.sum(axis=1, keepdims=True), atol=1e-4)
+    assert np.allclose(got[:60], a) and np.abs(got[60:].mean(axis=0)).max() < 5
