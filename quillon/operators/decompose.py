@@ -2,8 +2,8 @@
 
 Cells are rows with short array vectors. Steps that touch cells one by one run in mapInPandas with the
 small matrices in the task; sums over cells are aggregated by task before they meet. The archetype
-problem of one depth k is solved in one task, on at most ``most_cells`` cells; deeper data is fitted on
-a bounded sample and all cells are then regressed on its archetypes.
+problem of one depth k is solved in one task where there are at most ``most_cells`` cells; more are fitted
+by passes over all of them, which bring only sums and the few cells that carry an archetype to the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from quillon.tables import materialize
 
 ROUNDS = 50
 MOST_CELLS = 20_000
+#: Cells that a pass adds for an archetype; the gap at which a mixture of cells counts as the nearest.
+ADDED, GAP = 8, 1e-9
 
 
 def simplex_projection(v: np.ndarray) -> np.ndarray:
@@ -288,8 +290,8 @@ def archetypes(cells: DataFrame, k_min: int = 2, k_max: int = 20, batches: DataF
     """(C, H), both (k, arch, cell_id, value), for every depth k; one task for each depth.
 
     Vectors are scaled to absolute sum 1. Start points come from successive projection. With ``batches``
-    (cell_id, batch) every round is followed by a batch correction. Beyond ``most_cells`` cells the
-    archetypes are fitted on those with the smallest hash and H is regressed for all.
+    (cell_id, batch) every round is followed by a batch correction. Beyond ``most_cells`` cells the same
+    is done by passes over all cells.
     """
     kind = dict(cells.dtypes)["cell_id"]
     unit = cells.select("cell_id", F.col("vec").cast("array<double>").alias("v"))
@@ -297,10 +299,10 @@ def archetypes(cells: DataFrame, k_min: int = 2, k_max: int = 20, batches: DataF
     unit = unit.withColumn("t", total).select("cell_id", F.transform("v", lambda x: x / F.when(F.col("t") > 0, F.col("t"))).alias("vec"))
     unit = unit if batches is None else unit.join(batches.select("cell_id", "batch"), "cell_id")
     n = unit.count()
-    fitted = unit if n <= most_cells else unit.orderBy(F.xxhash64("cell_id")).limit(most_cells)
+    if n > most_cells:
+        return _spread_archetypes(materialize(unit, "archetype-cells"), k_min, k_max, correction_rounds if batches is not None else 0, lam, rounds)
     depth = F.explode(F.sequence(F.lit(k_min), F.lit(max(k_min, min(k_max, n)))))
     schema = f"k int, arch int, cell_id {kind}, value double, side string"
-    wide = n > most_cells
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cell_id")
@@ -316,26 +318,214 @@ def archetypes(cells: DataFrame, k_min: int = 2, k_max: int = 20, batches: DataF
                 c, h, w = archetypal_analysis(fixed, c @ fixed, rounds)
         out = []
         for side, m in (("C", c), ("H", h.T)):
-            if side == "H" and wide:
-                continue
             i, j = np.nonzero(m > 1e-9)
             out.append(pd.DataFrame({"k": k, "arch": i + 1, "cell_id": ids[j], "value": m[i, j], "side": side}))
         return pd.concat(out)
 
-    both = materialize(fitted.withColumn("k", depth).groupBy("k").applyInPandas(solve, schema), "archetypes")
+    both = materialize(unit.withColumn("k", depth).groupBy("k").applyInPandas(solve, schema), "archetypes")
     c, h = (both.where(F.col("side") == s).drop("side") for s in "CH")
-    if wide:
-        points = stacked_points(c, unit.select("cell_id", "vec"))
-        parts = []
-        for k in sorted(points):
-            w = points[k]
-            parts.append(simplex_regression(unit, w).select(F.lit(k).alias("k"), "arch", "cell_id", "value"))
-        h = parts[0]
-        for p in parts[1:]:
-            h = h.unionByName(p)
     return c, h
 
 
+def _depths(b: pd.DataFrame, depths: list[int]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The rows of each depth: all of them, unless rows carry their depth ``k``."""
+    for k in depths:
+        g = b[b["k"] == k] if "k" in b.columns else b
+        if len(g):
+            yield k, g
+
+
+def _added_up(parts: DataFrame, keys: list[str]) -> list:
+    """Arrays ``s`` of tasks added up by ``keys``, element by element."""
+
+    def add(p: pd.DataFrame) -> pd.DataFrame:
+        return p[keys].iloc[:1].assign(s=[np.sum(np.stack(p["s"].to_numpy()), axis=0).tolist()])
+
+    return parts.groupBy(*keys).applyInPandas(add, parts.select(*keys, "s").schema).collect()
+
+
+def _mixture_sums(cells: DataFrame, w: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, tuple]]:
+    """For each depth: H'H, H'X, and the (cell_id, vec) that the archetypes ``w`` fit worst."""
+    kind = dict(cells.dtypes)["cell_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        worst: dict[int, tuple] = {}
+        for b in batches:
+            for k, g in _depths(b, list(w)):
+                x = np.stack(g["vec"].to_numpy()).astype(float)
+                h = simplex_least_squares(w[k], x, 100)
+                miss = ((x - h @ w[k]) ** 2).sum(1)
+                at = int(miss.argmax())
+                sums[k] = sums.get(k, 0) + np.concatenate([(h.T @ h).ravel(), (h.T @ x).ravel()])
+                if k not in worst or miss[at] > worst[k][0]:
+                    worst[k] = (float(miss[at]), g["cell_id"].iloc[at], x[at].tolist())
+        for k in sums:
+            yield pd.DataFrame({"k": [k], "s": [sums[k].tolist()], "miss": [worst[k][0]], "cell_id": [worst[k][1]], "vec": [worst[k][2]]})
+
+    parts = materialize(cells.mapInPandas(run, f"k int, s array<double>, miss double, cell_id {kind}, vec array<double>"), "mixture-sums")
+    far = {r["k"]: r["far"] for r in parts.groupBy("k").agg(F.max_by(F.struct("cell_id", "vec"), F.struct("miss", "cell_id")).alias("far")).collect()}
+    out = {}
+    for r in _added_up(parts, ["k"]):
+        k, v, m = r["k"], np.array(r["s"]), len(w[r["k"]])
+        out[k] = v[: m * m].reshape(m, m), v[m * m :].reshape(m, -1), (far[k]["cell_id"], np.array(far[k]["vec"]))
+    return out
+
+
+def _lowest(cells: DataFrame, slopes: dict[int, np.ndarray]) -> list:
+    """(k, arch, cell_id, vec, slope): for each row of ``slopes`` the ADDED cells of the least product with it."""
+    kind = dict(cells.dtypes)["cell_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, g in _depths(b, list(slopes)):
+                x = np.stack(g["vec"].to_numpy()).astype(float)
+                value = x @ slopes[k].T
+                m = min(ADDED, len(x))
+                pick = np.argpartition(value, m - 1, axis=0)[:m]
+                for j in range(pick.shape[1]):
+                    at = pick[:, j]
+                    yield pd.DataFrame({"k": k, "arch": j, "cell_id": g["cell_id"].to_numpy()[at], "vec": list(x[at]), "slope": value[at, j]})
+
+    found = cells.mapInPandas(run, f"k int, arch int, cell_id {kind}, vec array<double>, slope double")
+    order = Window.partitionBy("k", "arch").orderBy("slope", "cell_id")
+    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ADDED).collect()
+
+
+class _Pool:
+    """The cells of one depth that carry its archetypes or may do so, and the archetypes as their mixtures."""
+
+    def __init__(self, ids: list, x: np.ndarray, w: np.ndarray):
+        self.ids, self.x, self.w, self.c = list(ids), x, w, np.zeros((len(w), len(ids)))
+
+    def add(self, cell_id, vec: np.ndarray) -> bool:
+        if cell_id in self.ids:
+            return False
+        self.ids.append(cell_id)
+        self.x = np.vstack([self.x, vec])
+        return True
+
+    def sweep(self, g: np.ndarray, hx: np.ndarray, worst: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(C, archetypes, slopes) after each archetype in turn is the nearest mixture of the pool."""
+        w, c, slopes = self.w.copy(), np.zeros((len(self.w), len(self.ids))), np.zeros_like(self.w)
+        for j in range(len(w)):
+            if g[j, j] < 1e-7:
+                c[j, self.ids.index(worst[0])] = 1
+                w[j] = worst[1]
+                continue
+            target = w[j] + (hx[j] - g[j] @ w) / g[j, j]
+            c[j] = simplex_least_squares(self.x, target[None], 2000)[0]
+            w[j] = c[j] @ self.x
+            slopes[j] = w[j] - target
+        return c, w, slopes
+
+    def prune(self) -> None:
+        on = (self.c > 0).any(axis=0)
+        self.ids, self.x, self.c = [i for i, u in zip(self.ids, on, strict=True) if u], self.x[on], self.c[:, on]
+
+
+def _fit_spread(cells: DataFrame, pools: dict[int, _Pool], rounds: int) -> None:
+    """The rounds of ``archetypal_analysis`` over all cells. A mixture is found among the pool's cells;
+    a pass then looks through all cells for such as would improve it, until none does."""
+    for _ in range(rounds):
+        sums = _mixture_sums(cells, {k: p.w for k, p in pools.items()})
+        for k, p in pools.items():
+            p.add(*sums[k][2])
+        open_, swept = list(pools), {}
+        while open_:
+            for k in open_:
+                swept[k] = pools[k].sweep(*sums[k])
+            grown = set()
+            for r in _lowest(cells, {k: swept[k][2] for k in open_}):
+                _, w, slopes = swept[r["k"]]
+                if float(w[r["arch"]] @ slopes[r["arch"]]) - r["slope"] > GAP and pools[r["k"]].add(r["cell_id"], np.array(r["vec"])):
+                    grown.add(r["k"])
+            open_ = [k for k in open_ if k in grown]
+        for k, p in pools.items():
+            p.c, p.w, _ = swept[k]
+            p.prune()
+
+
+def _shifted(cells: DataFrame, w: dict[int, np.ndarray], lam: float) -> DataFrame:
+    """(k, cell_id, batch, raw, vec): ``raw`` less its batch terms, as ``_ridge_shift`` has them, scaled to
+    absolute sum 1."""
+    kind, batch_kind = dict(cells.dtypes)["cell_id"], dict(cells.dtypes)["batch"]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for k, g in _depths(b, list(w)):
+                h = simplex_least_squares(w[k], np.stack(g["vec"].to_numpy()).astype(float))
+                x = np.stack(g["raw"].to_numpy()).astype(float)
+                for level in g["batch"].unique():
+                    on = (g["batch"] == level).to_numpy()
+                    total[k, level] = total.get((k, level), 0) + np.concatenate([h[on].sum(0), (h[on].T @ x[on]).ravel()])
+        for (k, level), v in total.items():
+            yield pd.DataFrame({"k": [k], "batch": [level], "s": [v.tolist()]})
+
+    found = {(r["k"], r["batch"]): np.array(r["s"]) for r in _added_up(cells.mapInPandas(sums, f"k int, batch {batch_kind}, s array<double>"), ["k", "batch"])}
+    levels = sorted({b for _, b in found})
+    terms: dict[int, np.ndarray] = {}
+    for k in w:
+        m = len(w[k])
+        weight = np.stack([found[k, b][:m] for b in levels])
+        mixed = np.stack([found[k, b][m:].reshape(m, -1) for b in levels])
+        beta = []
+        for j in range(m):
+            a = np.diag(np.concatenate([[weight[:, j].sum()], weight[:, j]])) + lam * np.eye(len(levels) + 1)
+            a[0, 1:] = a[1:, 0] = weight[:, j]
+            beta.append(np.linalg.solve(a, np.vstack([mixed[:, j].sum(0), mixed[:, j]]))[1:])
+        terms[k] = np.stack(beta, axis=1)  # batch, archetype, dimension
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = {b: i for i, b in enumerate(levels)}
+        for b in batches:
+            for k, g in _depths(b, list(w)):
+                h = simplex_least_squares(w[k], np.stack(g["vec"].to_numpy()).astype(float))
+                x = np.stack(g["raw"].to_numpy()).astype(float)
+                fixed = x.copy()
+                code = g["batch"].map(at).to_numpy()
+                for i in np.unique(code):
+                    fixed[code == i] -= h[code == i] @ terms[k][i]
+                fixed /= np.maximum(np.abs(fixed).sum(1, keepdims=True), 1e-300)
+                yield pd.DataFrame({"k": k, "cell_id": g["cell_id"].to_numpy(), "batch": g["batch"].to_numpy(), "raw": list(x), "vec": list(fixed)})
+
+    return materialize(cells.mapInPandas(move, f"k int, cell_id {kind}, batch {batch_kind}, raw array<double>, vec array<double>"), "shifted")
+
+
+def _spread_archetypes(unit: DataFrame, k_min: int, k_max: int, correction_rounds: int, lam: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """``archetypes`` by passes over all cells; all depths share a pass."""
+    spark, kind = unit.sparkSession, dict(unit.dtypes)["cell_id"]
+    depths = list(range(k_min, max(k_min, k_max) + 1))
+    picked = successive_projection(unit.select("cell_id", "vec"), depths[-1])
+    start = picked.join(unit.select("cell_id", "vec"), "cell_id").orderBy("step").collect()
+    ids, x = [r["cell_id"] for r in start], np.array([r["vec"] for r in start])
+    pools = {k: _Pool(ids[:k], x[:k], x[:k].copy()) for k in depths}
+    _fit_spread(unit.select("cell_id", "vec"), pools, rounds)
+    cells = unit.withColumn("raw", F.col("vec"))
+    for _ in range(correction_rounds):
+        cells = _shifted(cells, {k: p.w for k, p in pools.items()}, lam)
+        wanted = spark.createDataFrame([(k, i) for k, p in pools.items() for i in p.ids], f"k int, cell_id {kind}")
+        moved = {(r["k"], r["cell_id"]): r["vec"] for r in cells.join(F.broadcast(wanted), ["k", "cell_id"]).select("k", "cell_id", "vec").collect()}
+        for k, p in pools.items():
+            p.x = np.array([moved[k, i] for i in p.ids])
+            p.w = p.c @ p.x
+        _fit_spread(cells.select("k", "cell_id", "vec"), pools, rounds)
+    c = [(k, j + 1, p.ids[i], float(p.c[j, i])) for k, p in pools.items() for j, i in zip(*np.nonzero(p.c > 1e-9), strict=True)]
+    c = [(k, int(j), i, v) for k, j, i, v in c]
+    w = {k: p.w for k, p in pools.items()}
+
+    def regress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, g in _depths(b, list(w)):
+                h = simplex_least_squares(w[k], np.stack(g["vec"].to_numpy()).astype(float))
+                i, j = np.nonzero(h > 1e-9)
+                yield pd.DataFrame({"k": k, "arch": (j + 1).astype(np.int32), "cell_id": g["cell_id"].to_numpy()[i], "value": h[i, j]})
+
+    schema = f"k int, arch int, cell_id {kind}, value double"
+    return spark.createDataFrame(c, schema), materialize(cells.mapInPandas(regress, schema), "archetype-h")
+
+
 def stacked_points(c: DataFrame, cells: DataFrame) -> dict[int, np.ndarray]:
     """Archetype vectors of each depth: C times the cells, a few short rows."""
     dims = linalg.dense(cells, "cell_id", "vec").withColumnRenamed("value", "x")

@@ -264,3 +264,28 @@ def test_batches_far_apart_are_merged(spark):
     g = np.exp(-(e - e.min(axis=1, keepdims=True)) / (0.1 * at.var(axis=0).sum()))
     assert len(i) and np.allclose(got[60:], x[60:] + g @ (to - at) / g.sum(axis=1, keepdims=True), atol=1e-4)
     assert np.allclose(got[:60], a) and np.abs(got[60:].mean(axis=0)).max() < 5
+
+
+@pytest.mark.parametrize("batched", [False, True])
+def test_archetypes_of_many_cells_are_those_of_one_task(spark, batched):
+    """Rare extreme cells carry archetypes and batches are corrected, whatever the number of cells."""
+    rng = np.random.default_rng(8)
+    corners = np.eye(4)[:3] * 0.7 + 0.075
+    x = np.concatenate([rng.dirichlet(np.ones(3) * 20, 297) @ corners, corners])
+    if batched:
+        x[::2, 3] += 0.05
+
+    def dense(rows):
+        m = np.zeros((4, 4, 300))
+        for r in rows.collect():
+            m[r.k, r.arch, r.cell_id] = r.value
+        return m
+
+    cells = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "cell_id long, vec array<double>")
+    batches = spark.createDataFrame([(i, i % 2) for i in range(300)], "cell_id long, batch int") if batched else None
+    one, spread = (decompose.archetypes(cells, 2, 3, batches, 1, rounds=4, most_cells=m) for m in (1000, 50))
+    (c, h), (c1, h1) = [[dense(m) for m in found] for found in (spread, one)]
+    assert np.abs(h - h1).max() < 0.01
+    unit = x / x.sum(1, keepdims=True)
+    assert batched or np.abs(c @ unit - c1 @ unit).max() < 0.002  # the mixtures of one point are many
+    assert batched or all(c[3, :, 297 + i].max() > 0.99 for i in range(3))
