@@ -46,18 +46,37 @@ class Rolling:
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
 
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        """h with h[i] the unnormalised hash of data[:i]."""
-        self._grow(len(data))
-        h = np.zeros(len(data) + 1, _U)
-        np.cumsum(self.table[data] * self.pow[: len(data)], out=h[1:])
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """h with h[i] the unnormalised hash of values[:i], 64-bit numbers."""
+        self._grow(len(values))
+        h = np.zeros(len(values) + 1, _U)
+        np.cumsum(values * self.pow[: len(values)], out=h[1:])
         return h
 
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        """h with h[i] the unnormalised hash of data[:i], bytes."""
+        return self.sums(self.table[data])
+
     def ranges(self, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of data[start:end], equal for equal bytes anywhere."""
         return (h[end] - h[start]) * self.back[start]
 
 
+class PairRolling(Rolling):
+    """Hashes of ranges of two bytes or more, summed over overlapping pairs of bytes: unlike sums over
+    single bytes modulo 2**64, they do not cancel in self-similar text."""
+
+    def __init__(self, seed: int) -> None:
+        super().__init__(seed)
+        self.pairs = np.random.default_rng(seed + 1000).integers(0, 2**64, 1 << 16, dtype=_U)
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        return self.sums(self.pairs[data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]])
+
+    def ranges(self, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (h[end - 1] - h[start]) * self.back[start]
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of pieces of a text column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -90,19 +109,30 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, off)
 
 
+class WordHashes:
+    """64-bit hashes of words with A-Z in lower case."""
+
+    def __init__(self, seed: int) -> None:
+        self.rolling = Rolling(seed)
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, first hash of each document)"""
+        data = _LOWER[data]
+        start, end, at = words(data, off)
+        return mix(self.rolling.ranges(self.rolling.prefix(data), start, end) + (end - start).astype(_U)), at
+
+
 class Shingler:
     """64-bit hashes of the shingles of ``width`` words; a shorter document is one shingle, and one
     without words has none."""
 
     def __init__(self, width: int = 5, seed: int = 11) -> None:
-        self.width, self.rolling = width, Rolling(seed)
+        self.width, self.hashes = width, WordHashes(seed)
         self.odd = np.random.default_rng(seed + 1).integers(1, 2**63, width, dtype=_U) * _U(2) + _U(1)
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, first hash of each document), in text order, repeats kept."""
-        data = _LOWER[data]
-        start, end, at = words(data, off)
-        h = mix(self.rolling.ranges(self.rolling.prefix(data), start, end) + (end - start).astype(_U))
+        h, at = self.hashes(data, off)
         count, k = np.diff(at), self.width
         n = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
         out_at = np.concatenate([[0], np.cumsum(n)])
