@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.packing import pack_by, unpack
 from quillon.llm.textkit import PairRolling, Rolling, WordHashes, mix, slices
 from quillon.tables import materialize, release
 
@@ -85,43 +86,10 @@ def units() -> tuple[Unit, Unit]:
     return Unit(LENGTH, 183, difference_cover(13), 1, 2, 3, False), Unit(PASSAGE, 31, difference_cover(5), 4, 5, 6, True)
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit values by byte planes; planes of zeros are left out."""
-    n = len(columns[0])
-    out = [np.array([n], np.uint32).tobytes()]
-    for c in columns:
-        planes = c.astype(_U).view(np.uint8).reshape(n, 8).T
-        used = planes.any(axis=1)
-        out += [np.packbits(used).tobytes(), planes[used].tobytes()]
-    return b"".join(out)
-
-
-def _unpack(raw, count: int) -> list[np.ndarray]:
-    data = np.frombuffer(raw, np.uint8)
-    n, at, out = int(data[:4].view(np.uint32)[0]), 4, []
-    for _ in range(count):
-        used = np.unpackbits(data[at : at + 1]).astype(bool)
-        planes = np.zeros((8, n), np.uint8)
-        size = int(used.sum()) * n
-        planes[used] = data[at + 1 : at + 1 + size].reshape(-1, n)
-        out.append(np.ascontiguousarray(planes.T).view(_U).ravel())
-        at += 1 + size
-    return out
-
-
-def _by(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(part, packed columns) for each value of ``part``, which is sorted."""
-    if not len(part):
-        return
-    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
-        yield int(part[a]), _pack(*(c[a:b] for c in columns))
-
-
 def _marks(kind: int, doc: np.ndarray, pos: np.ndarray, blocks: int) -> Iterator[tuple[int, int, bytes]]:
     block = doc.astype(np.int64) % blocks
     order = np.lexsort((pos, doc, block))
-    for b, raw in _by(block[order], doc[order], pos[order]):
+    for b, raw in pack_by(block[order], doc[order], pos[order]):
         yield b, kind, raw
 
 
@@ -179,7 +147,7 @@ class _Sender:
         step = np.diff(key, prepend=_U(0))
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         step[cut] = key[cut]
-        for b, raw in _by(bucket, step, ctx, doc, where):
+        for b, raw in pack_by(bucket, step, ctx, doc, where):
             yield 2 * b + self.unit.across, self.kind, raw
 
 
@@ -205,7 +173,7 @@ def _settle(blocks: int) -> Callable[[pa.Table], pa.Table]:
         if part < 0:  # marks that a batch had settled
             return _table([(-1 - part, k, r) for k, r in zip(t.column("kind").to_pylist(), raw, strict=True)])
         kind = t.column("kind")[0].as_py()
-        cols = [_unpack(r, 4) for r in raw]
+        cols = [unpack(r, 4) for r in raw]
         key = np.concatenate([np.cumsum(c[0], dtype=_U) for c in cols])
         ctx, doc, where = (np.concatenate([c[i] for c in cols]) for i in (1, 2, 3))
         doc, pos, many = doc.view(np.int64), (where >> _U(1)).astype(np.int64), (where & _U(1)).astype(bool)
@@ -275,7 +243,7 @@ def _spread(marks: list[tuple[int, bytes]]) -> dict[int, list[tuple[int, np.ndar
     """Marks of a block by document: (kind, positions)."""
     found: dict[int, list] = {}
     for kind, raw in marks:
-        doc, pos = _unpack(raw, 2)
+        doc, pos = unpack(raw, 2)
         doc, pos = doc.view(np.int64), pos.view(np.int64)
         cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])).tolist()
         for a, b in zip(cut, [*cut[1:], len(doc)], strict=True):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -144,6 +145,71 @@ def test_links_are_all_pairs_at_the_threshold(spark):
     assert got[None].component_id is None and projection_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def all_links(rows) -> dict[int, tuple[int, int]]:
+    """(links, smallest id of the component) by id, from all pairs."""
+    ids = np.array([i for i, _ in rows])
+    u = np.stack([np.array(v) / np.linalg.norm(v) for _, v in rows])
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    root = ids.copy()
+    while True:
+        low = np.minimum(root, np.where(near, root[None, :], 2**62).min(axis=1))
+        if (low == root).all():
+            return {int(i): (int(n), int(r)) for i, n, r in zip(ids, near.sum(axis=1), root, strict=True)}
+        root = low
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_groups_and_chains_against_all_pairs(spark, monkeypatch, small):
+    """Dense groups, a chain of barely linked vectors, and scattered pairs; with cells and blocks of a few
+    rows the large ones are cut."""
+    if small:
+        monkeypatch.setattr(projection_dedup, "CELL", 16)
+        monkeypatch.setattr(projection_dedup, "BLOCK", 8)
+        monkeypatch.setattr(projection_dedup, "PART", 3000)
+    rng = np.random.default_rng(4)
+    x = [rng.standard_normal(64) for _ in range(700)]
+    for k, spread in ((0, 0.1), (1, 0.16), (2, 0.23)):
+        x += [x[k] + rng.standard_normal(64) * spread for _ in range(150)]
+    for k in range(40):  # each turns by an angle whose cosine is 0.96
+        side = rng.standard_normal(64)
+        u = x[-1] / np.linalg.norm(x[-1])
+        side -= (side @ u) * u
+        x.append(0.96 * u + 0.28 * side / np.linalg.norm(side))
+    x += [v + rng.standard_normal(64) * 0.2 for v in x[100:300]]
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)) + 5, x, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in projection_dedup.near_duplicates(df).collect()}
+    assert got == all_links(rows)
+
+
+def test_repeated_ids_are_one_component(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, b), (4, c), (4, c)], "vec_id long, embedding array<double>")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in projection_dedup.near_duplicates(df).collect())
+    assert got == Counter([(1, 1, 1, True), (2, 1, 1, False), (2, 2, 1, False), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (4, 1, 4, True)])
+
+
+def test_orders_are_calibrated():
+    """Of pairs just at the threshold, windows and count lose almost none; of random pairs few pass."""
+    rng = np.random.default_rng(5)
+    for dims in (8, 24, 64, 300):
+        u = rng.standard_normal((4000, dims))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        side = rng.standard_normal((4000, dims))
+        side -= (side * u).sum(axis=1, keepdims=True) * u
+        v = 0.95 * u + np.sqrt(1 - 0.95**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+        bits, count = projection_dedup.orders(100_000)
+        project = projection_dedup._projector(bits, count)
+        (ca, ya, a), (cb, yb, b) = project(u), project(v)
+        m = min(dims, projection_dedup.COUNTED)
+        hits = (np.abs(a.astype(int) - b) <= 9)[:, :m].sum(axis=1)
+        assert (hits >= projection_dedup.least_count(dims)).all()
+        assert ((ca == cb) & (np.abs(ya - yb) <= projection_dedup.STEPS + 1)).any(axis=1).mean() > 0.999
+        far = (np.abs(a.astype(int) - np.roll(b, 1, axis=0)) <= 9)[:, :m].sum(axis=1)
+        assert dims < 24 or (far >= projection_dedup.least_count(dims)).mean() < 0.01
+
+
 def test_recall_against_all_pairs(spark):
     x = {r.vec_id: np.array(r.embedding, float) for r in table(spark, SF, "embeddings").collect()}
     ids = sorted(x)
@@ -237,9 +303,65 @@ def check_removed(df, rows):
     assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == want
 
 
-def test_cover_is_perfect():
-    cover, v = suffix_dedup.difference_cover(), suffix_dedup.PERIOD
-    assert len(cover) ** 2 - len(cover) + 1 == v and {(a - b) % v for a in cover for b in cover} == set(range(v))
+def test_covers_are_perfect():
+    for u in suffix_dedup.units():
+        assert len(u.cover) ** 2 - len(u.cover) + 1 == u.period and {(a - b) % u.period for a in u.cover for b in u.cover} == set(range(u.period))
+
+
+def shared(rows) -> Counter:
+    """(id, whether 51 words in a row also stand in another row's text)"""
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for _, t in rows]
+    holders: dict[tuple, set] = {}
+    for k, w in enumerate(texts):
+        for i in range(len(w) - 50):
+            holders.setdefault(tuple(w[i : i + 51]), set()).add(k)
+    return Counter((i, any(len(holders[tuple(w[j : j + 51])]) > 1 for j in range(len(w) - 50))) for (i, _), w in zip(rows, texts, strict=True))
+
+
+def test_shared_passages_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdef"), 5)) for _ in range(400)]
+    say = lambda n: list(rng.choice(vocabulary, n))
+    base, line = say(120), say(30)
+    rows = [(i, " ".join(say(int(rng.integers(0, 90))))) for i in range(10)]
+    rows += [(20, " ".join(base)), (21, " ".join(say(40) + base[30:81] + say(9)).upper()), (22, "\n".join(say(7) + base[60:110])), (23, " ".join(base[:51])), (24, "no " * 200), (25, "go " * 70 + "so"), (26, "go\t" * 60), (27, None), (28, "")]
+    rows += [(100 + i, " ".join(say(30) + line + say(30))) for i in range(40)]  # one line in many surroundings
+    rows += [(200 + i, rows[-1 - i][1].split(" ", 12)[-1]) for i in range(3)]
+    for parts in (1, 7):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        assert Counter((r.doc_id, r.shares_passage) for r in got.collect()) == shared(rows)
+
+
+def test_a_line_in_many_surroundings(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line = text(300)
+    rows = [(i, text(150) + line + text(150)) for i in range(60)]
+    rows += [(100 + i, rows[i][1][60:520]) for i in range(0, 60, 7)]
+    for parts in (1, 6):
+        check_removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), rows)
+
+
+def test_repeats_in_documents_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    check_removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+
+
+def test_worker_functions_need_no_package():
+    """Functions that tasks run are unpickled where the package cannot be imported."""
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from quillon.llm import projection_dedup as p
+
+    functions = [suffix_dedup._sample(3, 3), suffix_dedup._settle(3), suffix_dedup._strings(3, 3), suffix_dedup._finish(), minhash_forest._signer(), secret_ledger.scanner(), p.worker_functions()]
+    code = "import sys, pickle; sys.path = [x for x in sys.path if 'repo' not in x]; f = pickle.loads(sys.stdin.buffer.read()); import importlib.util as u; assert u.find_spec('quillon') is None"
+    raw = cloudpickle.dumps(functions)
+    assert pickle.loads(raw)
+    subprocess.run([sys.executable, "-c", code], input=raw, check=True, cwd="/", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
 
 
 def test_repeats_against_brute_force(spark, none):
