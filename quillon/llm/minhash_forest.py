@@ -1,10 +1,11 @@
 """MinHash near-dedup by an LSH forest.
 
-Every distinct shingle set gets a signature of ``TREES * DEPTH`` minima. Each tree is a sorted order of
-signatures; documents that share the longest prefixes in some tree are candidates. The order is worked
-on by regions (documents with one prefix of BASE minima). In a dense region neighbours share more, so a
-window of its order reaches only the deeper prefixes; a region of more than REGION sets is also cut at
-these, so the depth adapts to the density. Candidates whose signatures agree enough are compared on their
+Every distinct shingle set, named by a digest of all of it, gets a signature of ``TREES * DEPTH`` minima.
+Each tree sorts its DEPTH minima, a byte of each, as a word; documents that share the longest prefixes in
+some tree stand next to one another there and are candidates. The order is worked on by regions (documents
+with one prefix of BASE minima). In a dense region neighbours share more, so a window of its order reaches
+only the deeper prefixes; a region of more than REGION sets is also cut at these, so the depth adapts to the
+density. Candidates whose signatures agree enough are compared on their
 full shingle sets; only a confirmed pair is a link.
 
 Links are verified in rounds. The first verifies a few best candidates of each set among NEAR neighbours
@@ -18,6 +19,7 @@ component meets every other set of the region.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -31,14 +33,17 @@ from quillon.llm.components import connected_components
 from quillon.llm.textkit import Shingler, slices
 from quillon.tables import materialize, release
 
-TREES, DEPTH, BASE, DEEPER = 16, 16, 4, (6, 8)
-#: Rows of a region that are compared with one another; more are cut at deeper prefixes, then by hash.
+TREES, DEPTH, BASE, DEEPER = 16, 16, 4, 6
+#: Rows of a region that are compared with one another; more are cut at DEEPER minima, then at all of them,
+#: and what agrees in all of them by hash.
 REGION, NEAR = 4096, 32
+#: Subgroups of a group of equal sets; further sets of an id get numbers from here, above any id.
+SALTS, FURTHER = 64, 2**62
 #: The chance that a pair just at the similarity agrees in too few minima to be compared; a sure estimate.
 MISS, EST_SURE = 1e-6, 0.93
 _ROW = TREES * DEPTH
 
-_SIG = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, k4 array<long>, k6 array<long>, k8 array<long>"
+_SIG = "doc_id long, n_shingles long, name binary, sig binary, k4 array<long>"
 
 
 def ratio_of(similarity: float) -> tuple[int, int]:
@@ -66,20 +71,17 @@ def _signer():
     rng = np.random.default_rng(2024)
     mul = rng.integers(0, 2**31, (TREES * DEPTH, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     add = rng.integers(0, 2**32, (TREES * DEPTH, 1), dtype=np.uint32)
-    fold = rng.integers(1, 2**63, (3, DEEPER[-1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    fold = rng.integers(1, 2**63, BASE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     tree = np.arange(TREES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    def sign(sets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def sign(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (sets >> np.uint64(32)).astype(np.uint32)
         low = np.full(TREES * DEPTH, 2**32 - 1, np.uint32)
         for i in range(0, len(x), 4096):
             np.minimum(low, (x[None, i : i + 4096] * mul + add).min(axis=1), out=low)
-        m = low.reshape(TREES, DEPTH).astype(np.uint64)
-        keys = []
-        for row, depth in enumerate((BASE, *DEEPER)):
-            k = (m[:, :depth] * fold[row, :depth]).sum(axis=1, dtype=np.uint64) + tree
-            k ^= k >> np.uint64(29)
-            keys.append((k * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+        k = (low.reshape(TREES, DEPTH)[:, :BASE].astype(np.uint64) * fold).sum(axis=1, dtype=np.uint64) + tree
+        k ^= k >> np.uint64(29)
+        keys = (k * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
         return (low * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8), keys
 
     return sign
@@ -91,31 +93,25 @@ def _sets(sh: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
         yield x[np.concatenate([[True], x[1:] != x[:-1]])] if b - a > 1 else x
 
 
+def _name(x: np.ndarray) -> bytes:
+    """A set's digest: equal names are equal sets."""
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: set size, a 128-bit name of the set, and the forest's keys."""
+    """One row per row of ``docs``: set size, the set's name, its minima, and the forest's regions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, sign = Shingler(), _signer()
-        odd = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             for lo, hi, data, off in slices(batch.column(1)):
-                cols: list[list] = [[] for _ in range(7)]
+                cols: list[list] = [[] for _ in range(4)]
                 for x in _sets(*shingle(data, off)):
-                    cols[0].append(len(x))
-                    cols[1].append(int(x.sum(dtype=np.uint64).astype(np.int64)))
-                    cols[2].append(int(((x ^ (x >> np.uint64(31))) * odd).sum(dtype=np.uint64).astype(np.int64)))
-                    if len(x):
-                        s, keys = sign(x)
-                        cols[3].append(s.tobytes())
-                        for c, k in zip(cols[4:], keys, strict=True):
-                            c.append(k)
-                    else:
-                        for c in cols[3:]:
-                            c.append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.binary()] + [pa.list_(pa.int64())] * 3, strict=True))],
-                    names=["doc_id", "n_shingles", "h1", "h2", "sig", "k4", "k6", "k8"],
-                )
+                    s, keys = sign(x) if len(x) else (None, None)
+                    for c, value in zip(cols, (len(x), _name(x), None if s is None else s.tobytes(), keys), strict=True):
+                        c.append(value)
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n_shingles", "name", "sig", "k4"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _SIG)
 
@@ -204,7 +200,7 @@ def _candidates(entries: DataFrame, most: int | None, use_comp: bool, similarity
         if held is not None and len(held):
             yield work(held)
 
-    rows = entries.select("key", "k4", "k6", "k8", "id", "n", "sig", "comp", "trees").repartition("key").sortWithinPartitions("key", "k6", "k8", "id")
+    rows = entries.select("key", "k4", "prefix", "id", "n", "sig", "comp", "trees").repartition("key").sortWithinPartitions("key", "prefix", "id")
     return rows.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
@@ -227,60 +223,87 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
+    """(id, set) of the rows of ``docs(id, name, text)`` whose set has the name."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            for lo, hi, data, off in slices(batch.column(1)):
-                packed = pa.array([x.tobytes() for x in _sets(*shingle(data, off))], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), packed], names=["id", "set"])
+            for lo, hi, data, off in slices(batch.column(2)):
+                found = list(_sets(*shingle(data, off)))
+                ok = pa.array([_name(x) == name for x, name in zip(found, batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True)], pa.bool_())
+                packed = pa.array([x.tobytes() for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(ok), packed.filter(ok)], names=["id", "set"])
 
     return docs.mapInArrow(run, "id long, set binary")
 
 
+def _copies(named: DataFrame) -> DataFrame:
+    """Edges (a, b) from nodes of ``named(node, name)`` to smaller ones of the same name. A group is first
+    joined within SALTS parts of it, so that no task meets all of a large one."""
+    part = named.select("name", "node", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    subs = part.groupBy("name", "salt").agg(F.min("node").alias("sub"), F.count("*").alias("n"))
+    heads = subs.groupBy("name").agg(F.min("sub").alias("head"), F.sum("n").alias("n")).where("n > 1").select("name", "head")
+    met = materialize(subs.join(heads, "name").select("name", "salt", "sub", "head"), "forest-heads")
+    inner = part.join(met, ["name", "salt"]).select(F.col("node").alias("a"), F.col("sub").alias("b"))
+    return inner.union(met.select(F.col("sub").alias("a"), F.col("head").alias("b"))).where("a != b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of ``docs``.
 
     Words are runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z; a set holds the distinct 5-word
     shingles, or the whole sequence of a shorter text. Sets link at Jaccard similarity ``similarity`` or more.
     Null or empty text has an empty set and links with nothing. A null id keeps its row, with its own
-    null component and kept true. An id on several rows stands for all of them: a link of any counts,
-    and each of its rows has the same component. Ties go to the smaller id. Other columns are ignored,
+    null component and kept true. An id on several rows stands for all of them: a link of any set counts,
+    and each of its rows has the same component. Equal sets are those of one 128-bit digest of all shingles. Ties go to the smaller id. Other columns are ignored,
     so their names cannot clash; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sigs = materialize(signatures(base), "forest-signatures")
+    sigs = materialize(signatures(base).withColumn("row", F.monotonically_increasing_id()), "forest-signatures")
     named = sigs.where("doc_id is not null and n_shingles > 0")
-    reps = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    same = named.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    copies = materialize(same.where("a != b").distinct(), "forest-copies")
-    first = named.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-
-    trees = first.select(F.col("doc_id").alias("id"), F.explode(F.arrays_zip("k4", "k6", "k8")).alias("k")).select("id", "k.*")
+    again = named.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    several = not again.isEmpty()
+    if several:  # a node for each set of an id, the first of them under the id itself
+        low = named.join(again, "doc_id").groupBy("doc_id").agg(F.min("name").alias("low"))
+        named = named.join(low, "doc_id", "left")
+        named = materialize(named.withColumn("node", F.when(F.coalesce(F.col("name") != F.col("low"), F.lit(False)), F.col("row") + FURTHER).otherwise(F.col("doc_id"))), "forest-nodes")
+    else:
+        named = named.withColumn("node", F.col("doc_id"))
+    copies = _copies(named).union(named.where(F.col("node") != F.col("doc_id")).select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
+    copies = materialize(copies.distinct(), "forest-copies")
+    first = named.join(copies.select(F.col("a").alias("node")).where(F.col("node") < FURTHER), "node", "left_anti")
+
+    trees = first.select(F.col("node").alias("id"), "sig", F.posexplode("k4").alias("tree", "k4"))
+    trees = trees.select("id", "k4", F.substring("sig", F.col("tree") * DEPTH + 1, F.lit(DEPTH)).alias("prefix"))
     shared = trees.groupBy("k4").agg(F.count("*").alias("c4")).where("c4 > 1")
     entries = materialize(trees.join(shared, "k4"), "forest-entries")
     big = entries.where(F.col("c4") > REGION)
     cut = any(True for _ in big.select("k4").limit(1).toLocalIterator())
-    entries = entries.where(F.col("c4") <= REGION).select(F.col("k4").alias("key"), "k4", "k6", "k8", "id", F.lit(False).alias("cut"), (F.col("c4") > NEAR + 1).alias("wide"))
+    entries = entries.where(F.col("c4") <= REGION).select(F.col("k4").alias("key"), "k4", "prefix", "id", F.lit(False).alias("cut"), (F.col("c4") > NEAR + 1).alias("wide"))
     if cut:
-        c6, c8 = (big.groupBy(k).agg(F.count("*").alias(c)) for k, c in (("k6", "c6"), ("k8", "c8")))
-        parts = F.ceil(F.col("c8") / REGION)
-        key = F.when(F.col("c6") <= REGION, F.col("k6")).when(F.col("c8") <= REGION, F.col("k8")).otherwise(F.xxhash64("k8", F.pmod(F.xxhash64("id"), parts)))
-        split = big.join(c6, "k6").join(c8, "k8").select(key.alias("key"), "k4", "k6", "k8", "id", F.lit(True).alias("cut"), F.lit(True).alias("wide"))
-        head = big.groupBy("k4").agg(F.min(F.struct("id", "k6", "k8")).alias("h"))
-        heads = split.select("key", "k4").distinct().join(head, "k4").select("key", "k4", "h.k6", "h.k8", "h.id", F.lit(True).alias("cut"), F.lit(True).alias("wide"))
+        big = big.withColumn("some", F.substring("prefix", 1, DEEPER))
+        some = big.groupBy("k4", "some").agg(F.count("*").alias("c_some"))
+        all_ = big.groupBy("k4", "prefix").agg(F.count("*").alias("c_all"))
+        parts = F.ceil(F.col("c_all") / REGION)
+        key = F.when(F.col("c_some") <= REGION, F.xxhash64("k4", "some")).otherwise(F.xxhash64("k4", "prefix", F.pmod(F.xxhash64("id"), parts)))
+        split = big.join(some, ["k4", "some"]).join(all_, ["k4", "prefix"]).select(key.alias("key"), "k4", "prefix", "id", F.lit(True).alias("cut"), F.lit(True).alias("wide"))
+        head = big.groupBy("k4").agg(F.min(F.struct("id", "prefix")).alias("h"))
+        heads = split.select("key", "k4").distinct().join(head, "k4").select("key", "k4", "h.prefix", "h.id", F.lit(True).alias("cut"), F.lit(True).alias("wide"))
         entries = entries.unionByName(split).unionByName(heads)
-    facts = first.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", F.col("k4").alias("trees")).dropDuplicates(["id"])
+    facts = first.select(F.col("node").alias("id"), F.col("n_shingles").alias("n"), "sig", F.col("k4").alias("trees")).dropDuplicates(["id"])
     entries = materialize(entries.distinct().join(facts, "id"), "forest-regions")
     pairs = materialize(_candidates(entries.withColumn("comp", F.lit(0).cast("long")), 2, False, similarity), "forest-pairs")
     live = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     live = materialize(live.union(entries.where("wide").select("id")).distinct(), "forest-live")
     release(spark)
-    texts = base.where("doc_id is not null").withColumnRenamed("doc_id", "id").select("id", "text")
+    holders = first.select(F.col("node").alias("id"), "doc_id", "name")
 
     def verified(proposed: DataFrame) -> DataFrame:
         needed = proposed.select(F.col("a").alias("id")).union(proposed.select(F.col("b").alias("id"))).distinct()
-        sets = materialize(_shingle_sets(texts.join(needed, "id", "left_semi")), "forest-sets")
+        texts = base.join(holders.join(needed, "id"), "doc_id").select("id", "name", "text")
+        sets = _shingle_sets(texts)
+        sets = materialize(sets.dropDuplicates(["id"]) if several else sets, "forest-sets")
         release(spark)
         return _verify(proposed, sets, similarity)
 
@@ -297,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             placed = materialize(placed, "forest-mixed")
             wide = placed.where("cut")
             main = wide.groupBy("k4", "comp").agg(F.count_distinct("id").alias("c")).groupBy("k4").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-            minor = wide.join(main, "k4").where("comp != main").select("k4", "k6", "k8", "id", "cut", "wide", "n", "sig", "comp", "trees").distinct()
+            minor = wide.join(main, "k4").where("comp != main").select("k4", "prefix", "id", "cut", "wide", "n", "sig", "comp", "trees").distinct()
             keys = wide.select("key", "k4").distinct()
             placed = placed.unionByName(keys.join(minor, "k4").select(*placed.columns)).distinct()
         more = _candidates(placed, most, True, similarity).join(seen, ["a", "b"], "left_anti")

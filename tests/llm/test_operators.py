@@ -524,6 +524,13 @@ def test_near_duplicates_of_documents(spark):
     assert got == want
 
 
+def test_every_text_of_an_id_links(spark):
+    x, y, z = ("".join(f"{c}{i} " for i in range(60)) for c in "xyz")
+    rows = [(7, x), (7, y), (7, y), (3, y + "end"), (9, x), (5, z), (6, z), (4, "alone")]
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(7, 3), (7, 3), (7, 3), (3, 3), (9, 3), (5, 5), (6, 5), (4, 4)])
+
+
 def at_similarity(low: float, high: float, count: int) -> list[tuple[int, str]]:
     """Pairs of texts whose similarity is at least ``low`` and below ``high``."""
     rng, rows = np.random.default_rng(11), []
