@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source has a target in words. Every document is certain of the whole copies in target / size of
-its source; the rest is a sample without replacement in which the document has the remaining fraction
-as its inclusion odds. Pareto sampling ranks documents by random odds divided by inclusion odds,
-(u / (1-u)) / (p / (1-p)), and takes the smallest; here the sample's fixed size is counted in words.
-
-The order is cut into bins of the ranking value. Words are summed by source and bin before anything
-is ordered, so only the bin in which a source's target falls is sorted, and a source of a third of
-all rows is spread over as many tasks as it has bins.
+Each source has a target in words. A document's expected copies are its source's target / size, more for
+short documents and fewer for long ones by a slope that leaves the source's words as they are. The whole
+part is certain; the rest is its probability in a sample without replacement. Pareto sampling ranks
+documents by random odds divided by inclusion odds, (u / (1-u)) / (p / (1-p)), and takes the smallest;
+here the sample's fixed size is counted in words.
+
+Words are summed by source and bin of the ranking value before anything is ordered, so only the bin in
+which a source's target falls is sorted, without texts. What comes out is one row for each source with
+the last rank that is taken; documents meet it in a broadcast join and are never shuffled.
 """
 
 from __future__ import annotations
@@ -15,9 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.tables import materialize
+
 #: Weights of sources in code-point order, repeated; share of all words that the mix has; copies at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BINS = 4096
+#: Words from which a document is of the next class of length; share of the room, between no copy and
+#: MOST, that lies between the expected copies of the first class and of the last.
+LENGTHS, SLOPE = (50, 200, 800, 3200), 0.25
 #: A table of more sources is joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 SEED = "mix-1"
@@ -48,13 +54,39 @@ def water_fill(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: floa
     return [(s, n, t) for (s, n), t in zip(ordered, target, strict=True)]
 
 
-def targets(sized: DataFrame) -> DataFrame:
-    """(source, source_size, target). The table of sources, a sum for each, is small next to any corpus
-    and is filled on the driver; documents never go there."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    filled = water_fill([(r["source"], int(r["n"])) for r in rows])
-    goal = sized.sparkSession.createDataFrame(filled, "source string, source_size long, target double")
-    return F.broadcast(goal) if len(filled) <= BROADCAST_SOURCES else goal
+def length_class(size: Column) -> Column:
+    return sum((F.when(size >= n, 1).otherwise(0) for n in LENGTHS), F.lit(0))
+
+
+def expected(words: list[int], target: float, most: float = MOST) -> list[float]:
+    """Expected copies of a source's documents by class of length; words: those of each class. Their
+    words sum to ``target``."""
+    total = sum(words)
+    if not total:
+        return [0.0] * len(words)
+    ratio = target / total
+    mean = sum(c * n for c, n in enumerate(words)) / total
+    slope = SLOPE * min(ratio, most - ratio) / len(LENGTHS)
+    return [ratio + slope * (mean - c) for c in range(len(words))]
+
+
+_GOAL = "source string, source_size long, target double, whole array<long>, share array<double>, rest double"
+
+
+def targets(sized: DataFrame) -> tuple[DataFrame, bool]:
+    """(the goal of each source, whether they are few): its size and target, certain copies and the rest's
+    probability by class of length, and the words that the sample takes. The table of sources is small next
+    to any corpus and is filled on the driver; documents never go there."""
+    classes = range(len(LENGTHS) + 1)
+    rows = sized.groupBy("source").agg(*(F.sum(F.when(F.col("class") == c, F.col("size")).otherwise(0)).alias(f"n{c}") for c in classes)).collect()
+    words = {r["source"]: [int(r[f"n{c}"]) for c in classes] for r in rows}
+    out = []
+    for source, n, target in water_fill([(source, sum(w)) for source, w in words.items()]):
+        copies = expected(words[source], target)
+        whole = [int(x + 1e-12) for x in copies]
+        share = [max(0.0, x - k) for x, k in zip(copies, whole, strict=True)]
+        out.append((source, n, target, whole, share, target - sum(k * w for k, w in zip(whole, words[source], strict=True))))
+    return sized.sparkSession.createDataFrame(out, _GOAL), len(out) <= BROADCAST_SOURCES
 
 
 def _uniform(*parts: Column) -> Column:
@@ -63,50 +95,73 @@ def _uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, class, u) of each document."""
+    doc_id, size = F.col("doc_id").cast("long"), word_count(F.col("text"))
+    out = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    return out.withColumn("class", length_class(F.col("size"))).withColumn("u", _uniform(F.col("doc_id").cast("string")))
+
+
+def _ranked(sized: DataFrame, goal: DataFrame, few: bool) -> DataFrame:
+    """``sized`` with its source's goal, its certain copies, and the rank and bin of the rest."""
+    names = [c for c in sized.columns if c != "source"]
+    joined = sized.join(F.broadcast(goal) if few else goal, sized["source"].eqNullSafe(goal["source"]))
+    joined = joined.select(*names, sized["source"], *(goal[c] for c in goal.columns if c not in ("source", "whole", "share")), goal["whole"][F.col("class")].alias("whole"), goal["share"][F.col("class")].alias("share"))
+    share = F.col("share")
+    rank = F.col("u") / (1 - F.col("u")) / (share / (1 - share))
+    ranked = joined.withColumn("rank", F.when((share > 1e-12) & (F.col("size") > 0), rank))
+    return ranked.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("rank") / (1 + F.col("rank")) * BINS)).cast("int"))
+
+
+def _plan(sized: DataFrame) -> tuple[DataFrame, bool]:
+    """The goals with the bin in which each sample ends (null: it takes all) and the last that it takes there."""
+    goal, few = targets(sized)
+    ranked = _ranked(sized, goal, few)
+    bins = ranked.where("bin is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("room"))
+    upto = Window.partitionBy("source").orderBy("bin")
+    ends = bins.withColumn("upto", F.sum("words").over(upto)).where("upto > room").groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("end"))
+    ends = ends.select(F.col("source").alias("of"), F.col("end.bin").alias("edge"), F.col("end.before").alias("before"))
+    ends = F.broadcast(ends) if few else ends
+    edge = ranked.join(ends, ranked["source"].eqNullSafe(ends["of"]) & (ranked["bin"] == ends["edge"]))
+    ahead = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("before") + F.coalesce(F.sum("size").over(ahead), F.lit(0))
+    taken = edge.select("source", "edge", "rest", "size", at.alias("at"), F.struct("rank", "doc_id", "size").alias("place"))
+    last = taken.groupBy("source").agg(F.min("edge").alias("edge"), F.max(F.when(F.col("at") + F.col("size") / 2 <= F.col("rest"), F.col("place"))).alias("last"))
+    last = last.withColumnRenamed("source", "of")
+    plan = goal.join(last, goal["source"].eqNullSafe(last["of"]), "left").drop("of")
+    return materialize(plan, "mix-plan"), few
+
+
+def _copies() -> Column:
+    """How often a ranked document is taken, by the plan's columns."""
+    edge, place = F.col("edge"), F.struct("rank", "doc_id", "size")
+    taken = F.when(F.col("bin").isNull(), 0).when(edge.isNull() | (F.col("bin") < edge), 1).when((F.col("bin") == edge) & (place <= F.col("last")), 1).otherwise(0)
+    return F.when(F.col("size") > 0, F.col("whole") + taken).otherwise(F.lit(0)).cast("int")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies): one row per row of ``docs``.
 
     Size counts the words ``[^\\x20\\x09-\\x0D]+``; null text has none. A null source is a source of its
-    own, the last. Equal rankings are ordered by id, then size; rows that are equal in these are
-    interchangeable. Documents without words, and sources without words, take nothing. A source that
-    reaches its cap takes every document that often. Other columns are ignored; an empty table gives an
-    empty result.
+    own, the last. Equal rankings are ordered by id, a null id first, then size; rows of one source that
+    are equal in id and size are taken alike. Documents without words, and sources without words, take
+    nothing. A source that reaches its cap takes every document that often. Other columns are ignored; an
+    empty table gives an empty result.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    goal = targets(sized)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))).otherwise(0.0)
-    whole = F.floor(ratio + 1e-12)
-    odds = F.when(F.col("u") >= 1, F.lit(1e300)).otherwise(F.col("u") / (1 - F.col("u")))
-    share = F.col("share")
-    rank = odds / (share / (1 - share))
-    placed = (
-        sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select("doc_id", sized["source"], "size", "source_size", "target")
-        .withColumn("whole", whole.cast("long")).withColumn("share", F.greatest(F.lit(0.0), ratio - F.col("whole")))
-        .withColumn("u", _uniform(F.col("doc_id").cast("string")))
-        .withColumn("rank", F.when((share > 1e-12) & (F.col("size") > 0), rank))
-        .withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.col("rank") / (1 + F.col("rank")) * BINS)).cast("int"))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    )
-    ahead = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = placed.where("bin is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("room"))
-    bins = bins.withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
-    state = F.when(F.col("before") + F.col("words") <= F.col("room"), 1).when(F.col("before") >= F.col("room"), 0).otherwise(2)
-    bins = bins.select(F.col("source").alias("s"), F.col("bin").alias("b"), "before", state.alias("state"))
-    joined = placed.join(bins, placed["source"].eqNullSafe(bins["s"]) & (placed["bin"] == bins["b"]), "left")
-    within = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = joined.where("state = 2").withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    edge = edge.withColumn("extra", (F.col("at") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("at")
-    sure = joined.where("state is null or state != 2").withColumn("extra", F.coalesce("state", F.lit(0)).cast("long"))
-    out = sure.unionByName(edge).withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("int").alias("copies"))
+    sized = materialize(_sized(docs), "mix-sizes")
+    out = _ranked(sized, *_plan(sized)).withColumn("copies", _copies())
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def repeat(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its columns. Rows without words
-    or without an id are not taken."""
-    taken = mix(docs).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    names = docs.columns
-    return docs.join(taken, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*names)
+    are not taken; those without an id are, by their size, like any others. An empty table stays empty."""
+    plan = _plan(materialize(_sized(docs), "mix-sizes"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source")
+    sized = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = sized.withColumn("class", length_class(F.col("size"))).withColumn("u", _uniform(F.col("doc_id").cast("string")))
+    taken = _ranked(sized, *plan).withColumn("copies", _copies()).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
 
 
 MIX_SQL = r"""
@@ -125,22 +180,26 @@ WITH sized AS (
   SELECT arg_min((total - capped) / open_w, (n / w, source)) FILTER (WHERE (total - capped) / open_w * w <= 2.0 * n) AS lambda FROM fill
 ), goal AS (
   SELECT b.source, b.n, CASE WHEN b.n = 0 THEN 0.0 ELSE least(2.0 * b.n, coalesce(l.lambda, 1e300) * b.w) END AS target FROM base b, level l
-), placed AS (
+), sloped AS (
   SELECT s.doc_id, s.source, s.size, g.n AS source_size, g.target,
-         CASE WHEN g.n > 0 THEN floor(g.target / g.n + 1e-12) ELSE 0 END AS whole,
-         CASE WHEN g.n > 0 THEN g.target / g.n ELSE 0 END AS ratio,
+         (s.size >= 50)::INT + (s.size >= 200)::INT + (s.size >= 800)::INT + (s.size >= 3200)::INT AS class,
          (('0x' || substr(md5('mix-1|' || s.doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source
+), placed AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size
+                  + 0.25 * least(target / source_size, 2 - target / source_size) / 4
+                  * (sum(class * size) OVER (PARTITION BY source)::DOUBLE / source_size - class) ELSE 0 END AS expected
+  FROM sloped
 ), ranked AS (
-  SELECT *, greatest(0.0, ratio - whole) AS share,
-         CASE WHEN ratio - whole > 1e-12 AND size > 0 THEN (u / (1 - u)) / (greatest(0.0, ratio - whole) / (1 - greatest(0.0, ratio - whole))) END AS rank
+  SELECT *, floor(expected + 1e-12) AS whole, target - sum(floor(expected + 1e-12) * size) OVER (PARTITION BY source) AS rest,
+         CASE WHEN expected - floor(expected + 1e-12) > 1e-12 AND size > 0 THEN (u / (1 - u)) / ((expected - floor(expected + 1e-12)) / (1 - (expected - floor(expected + 1e-12)))) END AS rank
   FROM placed
 ), summed AS (
   SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM ranked
+), counted AS (
+  SELECT *, CASE WHEN size > 0 THEN whole + CASE WHEN rank IS NOT NULL AND ahead + size / 2.0 <= rest THEN 1 ELSE 0 END ELSE 0 END AS copies
+  FROM summed
 )
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN rank IS NOT NULL AND ahead + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken,
-       (CASE WHEN size > 0 THEN whole + CASE WHEN rank IS NOT NULL AND ahead + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END ELSE 0 END)::INT AS copies
-FROM summed
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::INT AS copies FROM counted
 """

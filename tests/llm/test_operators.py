@@ -233,10 +233,26 @@ def test_mix_meets_targets(spark, odd, none):
     assert source_mixing.repeat(odd).columns == odd.columns
 
 
-def test_pareto_inclusion_is_even(spark):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("w w w w").alias("text"), (F.col("id") % 2).cast("string").alias("source"))
-    got = source_mixing.mix(docs).groupBy("target", "source_size").agg(F.sum("taken").alias("t"), F.count_distinct("copies").alias("c")).collect()
-    assert all(abs(r.t - r.target) <= 4 for r in got)
+def test_inclusion_differs_by_length_and_words_meet_the_target(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") % 5 == 0, 900).otherwise(20).cast("int")).alias("text"), (F.col("id") % 2).cast("string").alias("source"))
+    mixed = source_mixing.mix(docs)
+    by_source = mixed.groupBy("target", "source_size").agg(F.sum("taken").alias("t")).collect()
+    assert len(by_source) == 2 and all(abs(r.t - r.target) <= 900 for r in by_source)
+    assert mixed.where("taken > 2 * size").count() == 0
+    for r in by_source:
+        n = r.source_size // 980  # of five documents, four are short
+        long, short = source_mixing.expected([20 * 4 * n, 0, 0, 900 * n, 0], r.target)[3::-3]
+        assert long * 900 * n + short * 80 * n == pytest.approx(r.target) and (short > long or r.target == 2 * r.source_size)
+        got = {x["size"]: x.c for x in mixed.where(F.col("target") == r.target).groupBy("size").agg(F.avg("copies").alias("c")).collect()}
+        assert got[20] == pytest.approx(short, abs=0.06) and got[900] == pytest.approx(long, abs=0.06)
+
+
+def test_the_mix_repeats_whole_rows(spark, odd):
+    docs = odd.withColumn("mark", F.monotonically_increasing_id())
+    taken = Counter((r.doc_id, r["size"]) for r in source_mixing.mix(docs).collect() for _ in range(r.copies))
+    got = source_mixing.repeat(docs)
+    assert got.columns == docs.columns and Counter((r.doc_id, len(words(r.text or ""))) for r in got.collect()) == taken
+    assert got.where("doc_id is null").count() > 0 and source_mixing.repeat(docs.limit(0)).count() == 0
 
 
 # --- 4 secrets ----------------------------------------------------------------------------------------
