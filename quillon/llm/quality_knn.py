@@ -94,7 +94,8 @@ def predict_held_out(docs: DataFrame, labels: DataFrame, parts: int = 5, held: i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with the columns of ``docs``."""
+    """The rows of ``docs`` that are not rejected, with the columns of ``docs``. Null and empty
+    texts score 0 and go; without labels to learn from, nothing is rejected."""
     names = docs.columns
     model = fit(docs, labels.where(fold(5) != 0))
     if model is None:

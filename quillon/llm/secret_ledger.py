@@ -10,16 +10,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.tables import materialize
+from quillon.tables import materialize, release
 
 #: Rule set 1. The first three are the base; a match of fewer characters than the last number fails.
 #: (kind, pattern, group whose length counts, least length, letters that a match must contain)
 RULES_VERSION = 1
+#: Pushes of the query; parts of a group of equal texts when spans are brought to them.
+PUSHES, SALTS = 2, 16
 RULES = (
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     ("access", r"AKIA[A-Z0-9]+", 0, 20, False),
@@ -103,14 +106,22 @@ def scan_versions(versions: DataFrame, path: str, content: str, ledger: DataFram
     again = again.withColumn("blob", F.sha2("content", 256)).join(first.select("blob"), "blob", "left_semi") if ledger is not None else again.withColumn("blob", F.sha2("content", 256))
     lone = source.where("path is null").withColumn("blob", F.sha2("content", 256)).join(nameless, "blob", "left_semi")
     found = materialize(_scan_blobs(again.unionByName(lone), version), "secret-findings").dropDuplicates(["blob", "rules"])
+    release(versions.sparkSession)
     grown = found if ledger is None else ledger.unionByName(found)
     return named.join(grown.where(F.col("rules") == version), "blob"), grown
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob) of each row of ``docs``."""
-    found, _ = scan_versions(docs, "doc_id", "text")
-    return found.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob")
+def find_secrets(docs: DataFrame, pushes: int = PUSHES) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob) of each row of ``docs``.
+
+    The rows arrive in ``pushes``, each row in the push that a hash of its id names; every push is scanned
+    against the ledger that the ones before it left, so a text that came earlier is not scanned again.
+    """
+    push, ledger, found = F.pmod(F.xxhash64("doc_id"), F.lit(pushes)), None, []
+    for k in range(pushes):
+        part, ledger = scan_versions(docs.where(push == k), "doc_id", "text", ledger)
+        found.append(part.select(F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "blob"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -118,7 +129,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     again. Overlapping spans become one mark. Rows without findings are unchanged."""
     found, _ = scan_versions(docs, "doc_id", "text")
     hit = found.where("spans != ''").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
-    joined = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(hit, "__blob", "left")
+    hit = hit.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(hit, ["__blob", "__salt"], "left")
     at, names = docs.columns.index("text"), docs.columns
     spans_at = len(names)
 

@@ -285,6 +285,16 @@ def test_base_spans_stay(spark, odd, none):
     assert secret_ledger.redact(odd).columns == odd.columns and secret_ledger.redact(odd).count() == len(AWKWARD)
 
 
+def test_pushes_change_no_finding_and_scan_a_text_once(spark, odd, monkeypatch):
+    rows = [(i, SECRETS[i % 2] if i % 3 else f"token: abcdefgh{i % 7}") for i in range(40)] + [(None, SECRETS[0]), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned, scan = [], secret_ledger._scan_blobs
+    monkeypatch.setattr(secret_ledger, "_scan_blobs", lambda blobs, version: scanned.append(blobs.select("blob").distinct().count()) or scan(blobs, version))
+    found = [Counter(tuple(r) for r in secret_ledger.find_secrets(docs, pushes).collect()) for pushes in (1, 2, 3)]
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) == len(rows)
+    assert scanned[0] == sum(scanned[1:3]) == sum(scanned[3:]) == docs.selectExpr("coalesce(text, '')").distinct().count()
+
+
 def test_ledger_scans_only_unseen_blobs(spark):
     one = spark.createDataFrame([("a", SECRETS[0]), ("b", SECRETS[0]), ("c", "x")], "path string, content string")
     found, ledger = secret_ledger.scan_versions(one, "path", "content")
@@ -487,7 +497,7 @@ def test_quality_held_out(spark, odd, none):
 # --- 10 near duplicates -------------------------------------------------------------------------------
 
 
-def near_components(rows) -> dict:
+def near_components(rows, least: int = 85) -> dict:
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
     root = {i: i for i, _ in sets}
 
@@ -498,7 +508,7 @@ def near_components(rows) -> dict:
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= least * len(a | b):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return {i: find(i) for i, _ in sets}
