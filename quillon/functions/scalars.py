@@ -43,6 +43,19 @@ def hypergeometric_tail(population, success, sample, observed) -> Column:
     return F.when(p > q, F.coalesce(sample * kl, F.lit(0.0))).otherwise(0.0)
 
 
+def log10_normal_tail(z: Column) -> Column:
+    """log10 of the standard normal's upper tail: Mills' ratio as a continued fraction from 1.5 on, the
+    series z^(2k+1) / (2k+1)!! below."""
+    far = F.greatest(F.abs(z), F.lit(1.5))
+    inverse = F.aggregate(F.sequence(F.lit(60), F.lit(1)), far, lambda x, k: far + k / x)
+    log_tail = -far * far / (2 * LN10) - F.log10(inverse * math.sqrt(2 * math.pi))
+    low = F.least(F.greatest(z, F.lit(-1.5)), F.lit(1.5))
+    factors = [1.0 / math.prod(range(1, 2 * k + 2, 2)) for k in range(20, -1, -1)]
+    series = low * F.aggregate(F.array(*map(F.lit, factors)), F.lit(0.0), lambda s, c: s * low * low + c)
+    near = 0.5 - series * F.exp(-low * low / 2) / math.sqrt(2 * math.pi)
+    return F.when(z > 1.5, log_tail).when(z < -1.5, F.log10(1 - F.pow(F.lit(10.0), log_tail))).otherwise(F.log10(near))
+
+
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.scalars import ratio
+from quillon.functions.scalars import log10_normal_tail, ratio
 from quillon.tables import materialize
 
 #: Vectors of a block; pairs of blocks are compared in one task.
@@ -225,37 +225,40 @@ def geary(edges: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def categorical_phi(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(phi, mean, z): the join-count phi of ``labels(v, label)`` over weighted edges, with its moments
-    under random labelling in closed form. One row."""
+    """(phi, mean, z, log_p): the join count of ``labels(v, label)`` over weighted edges, +1 within a label
+    and -1 between two, divided by both labels' shares; its mean and z under random labelling, and -log10
+    of the upper tail. One row.
+
+    For a function f of two vertices, a random labelling draws vertices without replacement. So its
+    moments follow from the sums of f * f over ordered pairs, of f(i, j) * f(i, k) over distinct triples,
+    and of f(i, j) * f(k, l) over distinct quadruples. All come from the sums of one vertex over the
+    others, which depend on its label alone: f(i, j) = sign / (share of i * share of j).
+    """
     size = labels.groupBy("label").agg(F.count("*").cast("double").alias("c"))
-    n = F.sum("c").over(Window.partitionBy(F.lit(0)))
-    p = size.withColumn("p", F.col("c") / n).select("label", "p", n.alias("n"))
-    i = 1.0 / F.col("p")
-    q = p.agg(F.count("*").cast("double").alias("k"), F.first("n").alias("n"), F.sum(i).alias("q1"), F.sum(i * i).alias("q2"), F.sum(i * i * i).alias("q3"))
-    # The moments' polynomials in n, k, q1, q2, q3 and q22 = q1^2.
-    moments = {
-        "q22": "q1 * q1",
-        "x1": "4*pow(n,3)*q1 - 4*pow(n,3)*k*q1 + pow(n,3)*k*k*q1",
-        "x2": "2*n*n*q2 - n*n*k*q2",
-        "e1": "(n*n*q22 - n*q3) / (n*(n-1))",
-        "e2": "(x1 - 2*x2 + 2*n*q3 - n*n*q22) / (n*(n-1)*(n-2))",
-        "apart": "4*pow(n,4)*k*k - 4*pow(n,4)*pow(k,3) + pow(n,4)*pow(k,4) - (2*pow(n,3)*k*q1 - pow(n,3)*k*k*q1) - 2*(x1 - x2)",
-        "bpart": "(x1 - x2) - (x2 - n*q3) - (n*n*q22 - n*q3)",
-        "cpart": "(2*pow(n,3)*k*q1 - pow(n,3)*k*k*q1 - n*n*q22) - 2*(x2 - n*q3)",
-        "e3": "(apart - 2*bpart - cpart) / (n*(n-1)*(n-2)*(n-3))",
-    }
-    for name, text in moments.items():
-        q = q.withColumn(name, F.expr(text))
-    s = edges.agg(F.sum("weight").alias("s0"), (2 * F.sum(F.col("weight") * F.col("weight"))).alias("s1"))
+    whole = size.agg(F.sum("c").alias("n"))
+    share = size.crossJoin(F.broadcast(whole)).withColumn("p", F.col("c") / F.col("n")).withColumn("u", 1.0 / F.col("p"))
+    sums = share.agg(F.sum(F.col("c") * F.col("u")).alias("all_u"), F.sum(F.col("c") * F.col("u") * F.col("u")).alias("all_uu"))
+    c, u = F.col("c"), F.col("u")
+    to_others = u * (2.0 * c * u - F.col("all_u")) - u * u
+    squares_to_others = u * u * F.col("all_uu") - F.pow(u, F.lit(4))
+    vertex = share.crossJoin(F.broadcast(sums)).withColumn("r", to_others).withColumn("rr", squares_to_others)
+    of_pairs = vertex.agg(F.first("n").alias("n"), F.sum(c * F.col("r")).alias("pairs"), F.sum(c * F.col("rr")).alias("pairs2"), F.sum(c * F.col("r") * F.col("r")).alias("stars"))
+    triples = F.col("stars") - F.col("pairs2")
+    of_tuples = of_pairs.withColumn("triples", triples).withColumn("quads", F.col("pairs") * F.col("pairs") - 4.0 * F.col("triples") - 2.0 * F.col("pairs2"))
+    weights = edges.agg(F.sum("weight").alias("s0"), (2 * F.sum(F.col("weight") * F.col("weight"))).alias("s1"))
     ends = edges.select(F.col("src").alias("v"), "weight").union(edges.select(F.col("dst").alias("v"), "weight")).groupBy("v").agg(F.sum("weight").alias("d"))
-    s2 = ends.agg(F.sum(F.col("d") * F.col("d")).alias("s2"))
-    lab = labels.join(F.broadcast(p.select("label", "p")), "label")
-    e = edges.join(lab.toDF("la", "src", "pa"), "src").join(lab.toDF("lb", "dst", "pb"), "dst")
-    phi = e.agg(F.sum(F.col("weight") * F.when(F.col("la") == F.col("lb"), 1.0).otherwise(-1.0) / (F.col("pa") * F.col("pb"))).alias("phi"))
-    one = phi.crossJoin(q).crossJoin(s).crossJoin(s2)  # one row each
-    one = one.withColumn("mean", F.expr("s0 / (n*(n-1)) * (n*n*k*(2-k) - n*q1)"))
-    one = one.withColumn("var", F.expr("s1*e1 + (s2 - 2*s1)*e2 + (s0*s0 - s2 + s1)*e3 - mean*mean"))
-    return one.select("phi", "mean", ratio(F.col("phi") - F.col("mean"), F.sqrt(F.when(F.col("var") > 0, F.col("var")))).alias("z"))
+    degrees = ends.agg(F.sum(F.col("d") * F.col("d")).alias("s2"))
+    known = labels.join(F.broadcast(share.select("label", "p")), "label")
+    met = edges.join(known.toDF("la", "src", "pa"), "src").join(known.toDF("lb", "dst", "pb"), "dst")
+    phi = met.agg(F.sum(F.col("weight") * F.when(F.col("la") == F.col("lb"), 1.0).otherwise(-1.0) / (F.col("pa") * F.col("pb"))).alias("phi"))
+    one = phi.crossJoin(of_tuples).crossJoin(weights).crossJoin(degrees)  # one row each
+    n, s0, s1, s2 = (F.col(x) for x in ("n", "s0", "s1", "s2"))
+    two, three, four = n * (n - 1), n * (n - 1) * (n - 2), n * (n - 1) * (n - 2) * (n - 3)
+    one = one.withColumn("mean", s0 * F.col("pairs") / two)
+    second = s1 * F.col("pairs2") / two + (s2 - 2 * s1) * ratio("triples", three) + (s0 * s0 - s2 + s1) * ratio("quads", four)
+    one = one.withColumn("var", second - F.col("mean") * F.col("mean"))
+    one = one.withColumn("z", ratio(F.col("phi") - F.col("mean"), F.sqrt(F.when(F.col("var") > 0, F.col("var")))))
+    return one.select("phi", "mean", "z", (-log10_normal_tail(F.col("z"))).alias("log_p"))
 
 
 def transitivity(backbone: DataFrame) -> DataFrame:

@@ -249,14 +249,17 @@ ORACLES: dict[str, str] = {
         s="SELECT dim::INT AS key, count(*) AS n, var_pop(value) AS v FROM e GROUP BY 1", f="SELECT key, (n - 1) * q / (2 * (SELECT sum(weight) FROM gand) * n * v) AS c FROM q JOIN s USING (key)",
     ),
     "categorical_phi_z": _sql(
-        f"SELECT {_r('phi', 2)} AS phi, {_r('mean', 2)} AS mean, {_r('(phi - mean) / sqrt(s1 * e1 + (s2 - 2 * s1) * e2 + (s0 * s0 - s2 + s1) * e3 - mean * mean)', 4)} AS z FROM m", "gand", "lab",
-        pl="SELECT label, count(*) / (SELECT count(*) FROM lab)::DOUBLE AS p FROM lab GROUP BY 1", lp="SELECT v, label, p FROM lab JOIN pl USING (label)",
-        q="SELECT count(*)::DOUBLE AS k, (SELECT count(*) FROM lab)::DOUBLE AS n, sum(1 / p) AS q1, sum(1 / (p * p)) AS q2, sum(1 / (p * p * p)) AS q3 FROM pl",
+        f"SELECT {_r('phi', 2)} AS phi, {_r('mean', 2)} AS mean, {_r('z', 4)} AS z, {_r('z * z / 2 / ln(10) - log10(area / sqrt(2 * pi()))', 3)} AS log_p FROM zz, tail", "gand", "lab",
+        # f(i, j) for labels a, b; sums over ordered tuples of distinct vertices, label by label
+        pl="SELECT label, count(*)::DOUBLE AS c, count(*) / (SELECT count(*) FROM lab)::DOUBLE AS p FROM lab GROUP BY 1", lp="SELECT v, label, p FROM lab JOIN pl USING (label)",
+        f="SELECT a.label AS a, b.label AS b, a.c AS ca, b.c - (a.label = b.label)::INT AS cb, CASE WHEN a.label = b.label THEN 1 ELSE -1 END / (a.p * b.p) AS f FROM pl a, pl b",
+        r="SELECT a, ca, sum(cb * f) AS r, sum(cb * f * f) AS rr FROM f GROUP BY ALL",
+        m="SELECT (SELECT count(*) FROM lab)::DOUBLE AS n, sum(ca * r) AS f1, sum(ca * rr) AS f2, sum(ca * r * r) - sum(ca * rr) AS f3 FROM r",
         s="SELECT sum(weight) AS s0, 2 * sum(weight * weight) AS s1 FROM gand", s2="SELECT sum(d * d) AS s2 FROM (SELECT v, sum(weight) AS d FROM (SELECT src AS v, weight FROM gand UNION ALL SELECT dst, weight FROM gand) GROUP BY 1)",
         ph="SELECT sum(weight * CASE WHEN a.label = b.label THEN 1 ELSE -1 END / (a.p * b.p)) AS phi FROM gand JOIN lp a ON src = a.v JOIN lp b ON dst = b.v",
-        a="SELECT *, q1 * q1 AS q22, 4*n**3*q1 - 4*n**3*k*q1 + n**3*k*k*q1 AS x1, 2*n*n*q2 - n*n*k*q2 AS x2 FROM q, s, s2, ph",
-        b="SELECT *, (n*n*q22 - n*q3)/(n*(n-1)) AS e1, (x1 - 2*x2 + 2*n*q3 - n*n*q22)/(n*(n-1)*(n-2)) AS e2, 4*n**4*k*k - 4*n**4*k**3 + n**4*k**4 - (2*n**3*k*q1 - n**3*k*k*q1) - 2*(x1 - x2) AS ap, (x1 - x2) - (x2 - n*q3) - (n*n*q22 - n*q3) AS bp, (2*n**3*k*q1 - n**3*k*k*q1 - n*n*q22) - 2*(x2 - n*q3) AS cp FROM a",
-        m="SELECT *, (ap - 2*bp - cp)/(n*(n-1)*(n-2)*(n-3)) AS e3, s0/(n*(n-1))*(n*n*k*(2-k) - n*q1) AS mean FROM b",
+        mo="SELECT phi, s0 * f1 / (n * (n - 1)) AS mean, s1 * f2 / (n * (n - 1)) + (s2 - 2 * s1) * f3 / (n * (n - 1) * (n - 2)) + (s0 * s0 - s2 + s1) * (f1 * f1 - 4 * f3 - 2 * f2) / (n * (n - 1) * (n - 2) * (n - 3)) AS second FROM m, s, s2, ph",
+        zz="SELECT phi, mean, (phi - mean) / sqrt(second - mean * mean) AS z FROM mo",
+        tail="SELECT 0.0005 * sum(CASE WHEN i = 0 THEN 0.5 ELSE 1 END * exp(-0.0005 * i * (z + 0.00025 * i))) AS area FROM zz, range(100000) t(i)",
     ),
     "label_local_enrichment": _sql(f"SELECT v, label, {_r('value')} AS value FROM loc", "trans", "lab", **_local("trans", "lab")),
     "infer_missing_step": _sql("SELECT v, coalesce(label, found) AS label FROM lm LEFT JOIN best USING (v)", "trans", "lab", lm="SELECT v, CASE WHEN v % 5 != 0 THEN label END AS label FROM lab", **_local("trans", "lm")),

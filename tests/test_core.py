@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillon.functions import color
+from quillon.functions import color, scalars
 from quillon.operators import decompose, filters, graph, labels, linalg, normalize, specificity
 from quillon.sources import matrix
 
@@ -171,6 +172,13 @@ def test_phi_moments_by_permutation(spark):
     draws = [phi(rng.permutation(lab)) for _ in range(4000)]
     assert got.phi == pytest.approx(phi(lab)) and got["mean"] == pytest.approx(np.mean(draws), rel=0.1, abs=3)
     assert got.z == pytest.approx((phi(lab) - np.mean(draws)) / np.std(draws), abs=0.25)
+    assert got.log_p == pytest.approx(-math.log10(math.erfc(got.z / math.sqrt(2)) / 2), rel=1e-6)
+
+
+def test_normal_tail(spark):
+    z = [-9.0, -3.0, -1.5, -1.0, 0.0, 0.3, 1.4999, 1.5001, 2.0, 5.0, 30.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select(scalars.log10_normal_tail(F.col("z")).alias("p")).collect()
+    assert [r.p for r in got] == pytest.approx([math.log10(math.erfc(x / math.sqrt(2)) / 2) for x in z], rel=1e-9, abs=1e-12)
 
 
 def test_set_score_against_permutation(spark):
