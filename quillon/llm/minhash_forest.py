@@ -155,19 +155,24 @@ def _pairs_in(mat: np.ndarray, size: np.ndarray, key_end: np.ndarray, comp: np.n
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
 
 
-def _thin(i: np.ndarray, j: np.ndarray, est: np.ndarray, most: int | None):
-    """A few pairs of each row: its best, and the first that is nearly certain."""
+def _thin(i: np.ndarray, j: np.ndarray, est: np.ndarray, most: int | None, ids: np.ndarray):
+    """A few pairs of each row: the smallest id that is nearly certain, or else its best. Which one is
+    smallest does not depend on the order, so the trees of a dense group propose much the same pairs."""
     if most is None or not len(i):
         return i, j
     a, b, e = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([est, est])
-    order = np.lexsort((b, -e, a))
-    first = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]]))
-    rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-    best = order[rank < most]
-    sure = np.flatnonzero((e >= EST_SURE) & (b < a))
-    sure = sure[np.lexsort((b[sure], a[sure]))]
+    sure = np.flatnonzero((e >= EST_SURE) & (ids[b] < ids[a]))
+    sure = sure[np.lexsort((ids[b[sure]], a[sure]))]
     sure = sure[np.concatenate([[True], a[sure][1:] != a[sure][:-1]])] if len(sure) else sure
-    pick = np.concatenate([best, sure])
+    rest = np.ones(len(ids), bool)
+    rest[a[sure]] = False
+    order = np.flatnonzero(rest[a])
+    order = order[np.lexsort((ids[b[order]], -e[order], a[order]))]
+    rank = np.zeros(0, np.int64)
+    if len(order):
+        first = np.flatnonzero(np.concatenate([[True], a[order][1:] != a[order][:-1]]))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    pick = np.concatenate([order[rank < most], sure])
     both = np.unique(np.stack([np.minimum(a[pick], b[pick]), np.maximum(a[pick], b[pick])]), axis=1)
     return both[0], both[1]
 
@@ -185,7 +190,7 @@ def _candidates(entries: DataFrame, most: int | None, use_comp: bool, similarity
             end = last[np.searchsorted(last, np.arange(len(key)), "right")]
             comp = t.column("comp").to_numpy() if use_comp else None
             trees = t.column("trees").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
-            i, j = _thin(*_pairs_in(mat, size, end, comp, trees, t.column("k4").to_numpy(), similarity), most)
+            i, j = _thin(*_pairs_in(mat, size, end, comp, trees, t.column("k4").to_numpy(), similarity), most, ids)
             a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
