@@ -11,6 +11,8 @@ full shingle sets; only a confirmed pair is a link.
 Links are verified in rounds. The first verifies a few best candidates of each set among NEAR neighbours
 in each order, which already joins most groups; the following rounds take all sets of a region, but only
 pairs whose components still differ, and the last verifies all of these. A pair inside one component is skipped because it cannot change the result.
+The last round estimates by WIDE minima, signed only for the sets that it compares, so it proposes few
+pairs that fail however many of a dense group are nearly similar enough.
 A set whose regions all have at most NEAR + 1 sets has met them all in the first round and goes on only if a
 pair passed. Shingle sets are built a round, for the pairs that it proposes.
 A region that was cut is searched across its cuts too: every set outside the region's largest
@@ -42,6 +44,8 @@ SALTS, FURTHER = 64, 2**62
 #: The chance that a pair just at the similarity agrees in too few minima to be compared; a sure estimate.
 MISS, EST_SURE = 1e-6, 0.93
 _ROW = TREES * DEPTH
+#: Minima of the signatures of the last round.
+WIDE = 1024
 
 _SIG = "doc_id long, n_shingles long, name binary, sig binary, k4 array<long>"
 
@@ -51,14 +55,14 @@ def ratio_of(similarity: float) -> tuple[int, int]:
     return Fraction(str(similarity)).as_integer_ratio()
 
 
-def least_estimate(similarity: float) -> float:
+def least_estimate(similarity: float, minima: int = _ROW) -> float:
     """The estimate below which pairs are not compared. Of pairs at ``similarity`` a share of at most MISS
     has less: the bytes of their minima agree independently, by chance in one of 256 where the minima differ."""
     p, below = similarity + (1 - similarity) / 256, 0.0
-    for m in range(_ROW + 1):
-        below += math.comb(_ROW, m) * p**m * (1 - p) ** (_ROW - m)
+    for m in range(minima + 1):
+        below += math.comb(minima, m) * p**m * (1 - p) ** (minima - m)
         if below > MISS:
-            return (m / _ROW * 256 - 1) / 255
+            return (m / minima * 256 - 1) / 255
     return 1.0
 
 
@@ -87,6 +91,20 @@ def _signer():
     return sign
 
 
+def _wide_signer():
+    rng = np.random.default_rng(2025)
+    mul = rng.integers(0, 2**31, (WIDE, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 2**32, (WIDE, 1), dtype=np.uint32)
+
+    def sign(sets: np.ndarray) -> bytes:
+        x, low = (sets >> np.uint64(32)).astype(np.uint32), np.full(WIDE, 2**32 - 1, np.uint32)
+        for i in range(0, len(x), 1024):
+            np.minimum(low, (x[None, i : i + 1024] * mul + add).min(axis=1), out=low)
+        return (low * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+    return sign
+
+
 def _sets(sh: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         x = np.sort(sh[a:b])
@@ -116,13 +134,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _SIG)
 
 
-def _pairs_in(mat: np.ndarray, size: np.ndarray, key_end: np.ndarray, comp: np.ndarray | None, trees: np.ndarray, own: np.ndarray, similarity: float):
+def _pairs_in(mat: np.ndarray, size: np.ndarray, key_end: np.ndarray, comp: np.ndarray | None, trees: np.ndarray, own: np.ndarray, similarity: float, least: float):
     """Passing pairs (i, j, estimate) of rows within one key; key_end[i]: row after the last of i's key.
     Without ``comp`` only NEAR neighbours, and the first row of the key, are compared. With it, a pair
     that shares regions of several trees counts in the first of these only; ``trees`` holds the regions
     of each row and ``own`` the one at hand."""
     n, out = len(mat), []
-    (num, den), least = ratio_of(similarity), least_estimate(similarity)
+    (num, den), at_once = ratio_of(similarity), 50_000 * _ROW // mat.shape[1]
     length = key_end - np.arange(n)
     widest = int(length.max(initial=0))
 
@@ -137,7 +155,7 @@ def _pairs_in(mat: np.ndarray, size: np.ndarray, key_end: np.ndarray, comp: np.n
             i, j = i[ok], j[ok]
         if not len(i):
             return
-        est = ((mat[i] == mat[j]).sum(axis=1) / _ROW * 256 - 1) / 255
+        est = ((mat[i] == mat[j]).sum(axis=1) / mat.shape[1] * 256 - 1) / 255
         ok = est >= least - 1e-9
         out.append((i[ok], j[ok], est[ok]))
 
@@ -150,8 +168,8 @@ def _pairs_in(mat: np.ndarray, size: np.ndarray, key_end: np.ndarray, comp: np.n
         widest = NEAR + 1
     for step in range(1, widest):
         i = np.flatnonzero(length > step)
-        for at in range(0, len(i), 50_000):
-            keep(i[at : at + 50_000], i[at : at + 50_000] + step)
+        for at in range(0, len(i), at_once):
+            keep(i[at : at + at_once], i[at : at + at_once] + step)
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
 
 
@@ -177,20 +195,21 @@ def _thin(i: np.ndarray, j: np.ndarray, est: np.ndarray, most: int | None, ids:
     return both[0], both[1]
 
 
-def _candidates(entries: DataFrame, most: int | None, use_comp: bool, similarity: float) -> DataFrame:
+def _candidates(entries: DataFrame, most: int | None, use_comp: bool, similarity: float, minima: int = _ROW) -> DataFrame:
     """Distinct pairs (a, b) of ids that share a region, from ``entries(key, id, n, sig, comp)``."""
+    least = least_estimate(similarity, minima)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def work(t: pa.Table) -> pa.RecordBatch:
             key, ids, size = (t.column(c).to_numpy() for c in ("key", "id", "n"))
-            mat = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, _ROW)
+            mat = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, minima)
             last = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
             end = last[np.searchsorted(last, np.arange(len(key)), "right")]
             comp = t.column("comp").to_numpy() if use_comp else None
             trees = t.column("trees").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
-            i, j = _thin(*_pairs_in(mat, size, end, comp, trees, t.column("k4").to_numpy(), similarity), most, ids)
+            i, j = _thin(*_pairs_in(mat, size, end, comp, trees, t.column("k4").to_numpy(), similarity, least), most, ids)
             a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -227,16 +246,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return one.join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, set) of the rows of ``docs(id, name, text)`` whose set has the name."""
+def _shingle_sets(docs: DataFrame, wide: bool = False) -> DataFrame:
+    """(id, set) of the rows of ``docs(id, name, text)`` whose set has the name; ``wide``: its wide signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
+        shingle, sign = Shingler(), _wide_signer() if wide else np.ndarray.tobytes
         for batch in batches:
             for lo, hi, data, off in slices(batch.column(2)):
                 found = list(_sets(*shingle(data, off)))
                 ok = pa.array([_name(x) == name for x, name in zip(found, batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True)], pa.bool_())
-                packed = pa.array([x.tobytes() for x in found], pa.binary())
+                packed = pa.array([sign(x) for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).filter(ok), packed.filter(ok)], names=["id", "set"])
 
     return docs.mapInArrow(run, "id long, set binary")
@@ -304,12 +323,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(spark)
     holders = first.select(F.col("node").alias("id"), "doc_id", "name")
 
-    def verified(proposed: DataFrame) -> DataFrame:
-        needed = proposed.select(F.col("a").alias("id")).union(proposed.select(F.col("b").alias("id"))).distinct()
+    def of_texts(needed: DataFrame, wide: bool) -> DataFrame:
         texts = base.join(holders.join(needed, "id"), "doc_id").select("id", "name", "text")
-        sets = _shingle_sets(texts)
+        sets = _shingle_sets(texts, wide)
         sets = materialize(sets.dropDuplicates(["id"]) if several else sets, "forest-sets")
         release(spark)
+        return sets
+
+    def verified(proposed: DataFrame) -> DataFrame:
+        sets = of_texts(proposed.select(F.col("a").alias("id")).union(proposed.select(F.col("b").alias("id"))).distinct(), False)
         return _verify(proposed, sets, similarity)
 
     links = materialize(verified(pairs), "forest-links")
@@ -328,7 +350,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             minor = wide.join(main, "k4").where("comp != main").select("k4", "prefix", "id", "cut", "wide", "n", "sig", "comp", "trees").distinct()
             keys = wide.select("key", "k4").distinct()
             placed = placed.unionByName(keys.join(minor, "k4").select(*placed.columns)).distinct()
-        more = _candidates(placed, most, True, similarity).join(seen, ["a", "b"], "left_anti")
+        minima = _ROW
+        if most is None:
+            placed = materialize(placed, "forest-last")
+            placed, minima = placed.drop("sig").join(of_texts(placed.select("id").distinct(), True).toDF("id", "sig"), "id"), WIDE
+        more = _candidates(placed, most, True, similarity, minima).join(seen, ["a", "b"], "left_anti")
         more = materialize(more, "forest-pairs")
         if more.isEmpty():
             continue
