@@ -20,7 +20,7 @@ def url_keys(url: Column) -> Column:
     """The keys that can match a URL: its host, each parent domain, and host/first-segment."""
     host = F.lower(F.regexp_extract(url, HOST, 1))
     labels = F.split(host, "[.]")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 255), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     segment = F.lower(F.regexp_extract(url, SEGMENT, 1))
     path = F.when(segment != "", F.array(F.concat(host, F.lit("/"), segment))).otherwise(F.array().cast("array<string>"))
     return F.when(host != "", F.concat(suffixes, path)).otherwise(F.array().cast("array<string>"))
