@@ -61,6 +61,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_projection_dedup": projection_dedup.LINKS_SQL,
     "op3_source_mixing": source_mixing.MIX_SQL.replace("SELECT doc_id, size, source_size, target,\n", "SELECT doc_id, size, source_size, round(target, 6) AS target,\n"),
     "op7_url_lists": url_lists.FILTER_SQL,
 }
