@@ -187,21 +187,31 @@ def pagerank(edges: DataFrame, start: DataFrame, vertices: DataFrame, alpha: flo
 
 
 def sweep_cut(edges: DataFrame, scores: DataFrame) -> DataFrame:
-    """(v, rank, conductance) of the sets of top-scored vertices, rank from 0. An edge enters a set at the
-    later rank of its ends, so running sums of events replace the walk. Infinite for the first 5 and
-    the last 6 ranks, where the reference point is too small."""
-    order = Window.orderBy(F.desc(F.round("score", 9)), "v")
-    ranked = materialize(scores.select("v", "score").withColumn("rank", F.row_number().over(order) - 1).select("v", "rank"), "sweep-ranks")
+    """(key, v, rank, conductance) of the sets of top-scored vertices of each key of ``scores(key, v, score)``,
+    rank from 0. An edge enters a set at the later rank of its ends, so running sums of events replace the
+    walk. Infinite for the first 5 and the last 6 ranks, where the reference point is too small."""
+    of_key = Window.partitionBy("key")
+    order = of_key.orderBy(F.desc(F.round("score", 9)), "v")
+    ranked = materialize(scores.select("key", "v", (F.row_number().over(order) - 1).alias("rank")), "sweep-ranks")
     e = edges.where("src != dst")
     degree = e.groupBy("src").agg(F.sum("weight").alias("d")).withColumnRenamed("src", "v")
-    inside = e.join(ranked.toDF("src", "ra"), "src").join(ranked.toDF("dst", "rb"), "dst").groupBy(F.greatest("ra", "rb").alias("rank")).agg(F.sum("weight").alias("w"))
-    run = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    t = ranked.join(degree, "v", "left").join(inside, "rank", "left").select("v", "rank", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("w", F.lit(0.0)).alias("w"))
-    total = t.agg(F.sum("d").alias("total"), F.count("*").alias("n"))
-    t = t.withColumn("vol", F.sum("d").over(run)).withColumn("ins", F.sum("w").over(run)).crossJoin(F.broadcast(total))
+    ends = e.join(ranked.toDF("key", "src", "ra"), "src").join(ranked.toDF("key", "dst", "rb"), ["key", "dst"])
+    inside = ends.groupBy("key", F.greatest("ra", "rb").alias("rank")).agg(F.sum("weight").alias("w"))
+    run = of_key.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    t = ranked.join(degree, "v", "left").join(inside, ["key", "rank"], "left")
+    t = t.select("key", "v", "rank", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("w", F.lit(0.0)).alias("w"))
+    t = t.withColumn("vol", F.sum("d").over(run)).withColumn("ins", F.sum("w").over(run))
+    t = t.withColumn("total", F.sum("d").over(of_key)).withColumn("n", F.count("*").over(of_key))
     base = F.least(F.col("vol"), F.col("total") - F.col("vol"))
     value = F.when((F.col("rank") >= 5) & (F.col("rank") < F.col("n") - 6) & (base > 0), (F.col("vol") - F.col("ins")) / F.when(base > 0, base)).otherwise(F.lit(float("inf")))
-    return t.select("v", "rank", value.alias("conductance"))
+    return t.select("key", "v", "rank", value.alias("conductance"))
+
+
+def least_cut(edges: DataFrame, scores: DataFrame) -> DataFrame:
+    """(key, v): each key's set of least conductance, the smaller one of two alike."""
+    cut = sweep_cut(edges, scores)
+    best = F.min(F.struct("conductance", "rank")).over(Window.partitionBy("key"))
+    return cut.withColumn("best", best).where(F.col("rank") <= F.col("best.rank")).select("key", "v")
 
 
 def moran_backbone(edges_in: DataFrame, h: DataFrame, n: int) -> DataFrame:

@@ -210,7 +210,7 @@ ORACLES: dict[str, str] = {
     ),
     "phenotype_enrichment_analytic": _sql(
         f"SELECT dim::INT AS arch, {_r('(sum(r * w) - 0.5 * sum(w)) / sqrt(sum(w * w) / 12.0)')} AS z FROM j GROUP BY 1", "e", w="SELECT cell_id, abs(value) AS w FROM e WHERE dim = 20",
-        j="SELECT dim, w, row_number() OVER (PARTITION BY dim ORDER BY value, cell_id) / count(*) OVER (PARTITION BY dim)::DOUBLE AS r FROM e JOIN w USING (cell_id) WHERE dim < 16",
+        j="SELECT dim, w, row_number() OVER (PARTITION BY dim ORDER BY value, cell_id) / count(*) OVER (PARTITION BY dim)::DOUBLE AS r FROM e JOIN w USING (cell_id)",
     ),
     "marker_z": _sql(
         f'SELECT set_name, grp AS "group", {_r("coalesce((coalesce(o, 0) - mu * k) / nullif(sqrt(greatest(0, (q - nn * mu * mu) / (nn - 1) * (k - k * k / nn))), 0), 0)")} AS z FROM ps CROSS JOIN m LEFT JOIN hit USING (set_name, grp)', "ns", "brands", "n",
@@ -231,21 +231,24 @@ ORACLES: dict[str, str] = {
     ),
     "impute_step": _sql(
         f"SELECT feature_id, cell_id, {_r('CASE WHEN most > 0 THEN least(top, y * top / most) ELSE 0 END')} AS value FROM y JOIN (SELECT feature_id, max(value) AS top FROM x GROUP BY 1) USING (feature_id) JOIN (SELECT feature_id, max(y) AS most FROM y GROUP BY 1) USING (feature_id)", "adj", "e",
-        x="SELECT dim::INT AS feature_id, cell_id, value FROM e WHERE dim < 3 AND value > 0", x0="SELECT feature_id, cell_id, value / sum(value) OVER (PARTITION BY feature_id) AS x FROM x", out_="SELECT DISTINCT dst FROM adj",
+        x="SELECT dim::INT AS feature_id, cell_id, value FROM e WHERE value > 0", x0="SELECT feature_id, cell_id, value / sum(value) OVER (PARTITION BY feature_id) AS x FROM x", out_="SELECT DISTINCT dst FROM adj",
         lv="SELECT feature_id, sum(x * CASE WHEN dst IS NULL THEN 1.0 ELSE 1.0 - 0.85::DOUBLE END) AS c FROM x0 LEFT JOIN out_ ON cell_id = dst GROUP BY 1",
         m="SELECT feature_id, src AS cell_id, 0.85 * sum(weight * x) AS m FROM x0 JOIN adj ON cell_id = dst GROUP BY ALL", b="SELECT feature_id, cell_id, x * c AS b FROM x0 JOIN lv USING (feature_id)",
         y="SELECT coalesce(m.feature_id, b.feature_id) AS feature_id, coalesce(m.cell_id, b.cell_id) AS cell_id, coalesce(m, 0) + coalesce(b, 0) AS y FROM m FULL JOIN b ON m.feature_id = b.feature_id AND m.cell_id = b.cell_id",
     ),
     "sweep_cut": _sql(
-        f"SELECT v, rank::INT AS rank, {_r('(vol - ins) / least(vol, total - vol)')} AS conductance FROM r WHERE rank >= 5 AND rank < n - 6 AND least(vol, total - vol) > 0", "gand", "e",
-        rk="SELECT cell_id AS v, row_number() OVER (ORDER BY round(value, 9) DESC, cell_id) - 1 AS rank FROM e WHERE dim = 0", d="SELECT src AS v, sum(weight) AS d FROM gand GROUP BY 1",
-        i="SELECT greatest(a.rank, b.rank) AS rank, sum(weight) AS w FROM gand JOIN rk a ON src = a.v JOIN rk b ON dst = b.v GROUP BY 1",
-        t="SELECT v, rank, coalesce(d, 0) AS d, coalesce(w, 0) AS w FROM rk LEFT JOIN d USING (v) LEFT JOIN i USING (rank)",
-        r="SELECT v, rank, sum(d) OVER (ORDER BY rank) AS vol, sum(w) OVER (ORDER BY rank) AS ins, sum(d) OVER () AS total, count(*) OVER () AS n FROM t",
+        f"SELECT key, v, rank::INT AS rank, {_r('(vol - ins) / least(vol, total - vol)')} AS conductance FROM r WHERE rank >= 5 AND rank < n - 6 AND least(vol, total - vol) > 0", "gand", "e",
+        rk="SELECT dim::INT AS key, cell_id AS v, row_number() OVER (PARTITION BY dim ORDER BY round(value, 9) DESC, cell_id) - 1 AS rank FROM e", d="SELECT src AS v, sum(weight) AS d FROM gand GROUP BY 1",
+        i="SELECT a.key, greatest(a.rank, b.rank) AS rank, sum(weight) AS w FROM gand JOIN rk a ON src = a.v JOIN rk b ON dst = b.v AND a.key = b.key GROUP BY 1, 2",
+        t="SELECT key, v, rank, coalesce(d, 0) AS d, coalesce(w, 0) AS w FROM rk LEFT JOIN d USING (v) LEFT JOIN i USING (key, rank)",
+        r="SELECT key, v, rank, sum(d) OVER (PARTITION BY key ORDER BY rank) AS vol, sum(w) OVER (PARTITION BY key ORDER BY rank) AS ins, sum(d) OVER (PARTITION BY key) AS total, count(*) OVER (PARTITION BY key) AS n FROM t",
+    ),
+    "moran_backbone": _sql(
+        f"SELECT a.dim::INT AS a, b.dim::INT AS b, {_r(f'sum(a.z * b.z) / {_WIDE}')} AS value FROM z a JOIN lag_ b ON a.cell_id = b.dst GROUP BY 1, 2", "gin", "e",
+        z="SELECT cell_id, dim, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS z FROM e WINDOW w AS (PARTITION BY dim)", lag_="SELECT dst, dim, sum(weight * z) AS z FROM gin JOIN z ON src = cell_id GROUP BY ALL",
     ),
-    "moran_backbone": _sql(f"SELECT a.dim::INT AS a, b.dim::INT AS b, {_r(f'sum(a.z * weight * b.z) / {_WIDE}')} AS value FROM gin JOIN z a ON dst = a.cell_id JOIN z b ON src = b.cell_id GROUP BY 1, 2", "gin", "e", z="SELECT cell_id, dim, (value - avg(value) OVER w) / stddev_samp(value) OVER w AS z FROM e WHERE dim < 6 WINDOW w AS (PARTITION BY dim)"),
     "geary_autocorrelation": _sql(
-        f"SELECT key, {_r('c')} AS c, {_r('1 - c / 2')} AS autocorrelation FROM f", "gand", "e", q="SELECT a.dim::INT AS key, sum(weight * (a.value - b.value) * (a.value - b.value)) / 2 AS q FROM gand JOIN e a ON src = a.cell_id JOIN e b ON dst = b.cell_id AND a.dim = b.dim WHERE a.dim < 6 GROUP BY 1",
+        f"SELECT key, {_r('c')} AS c, {_r('1 - c / 2')} AS autocorrelation FROM f", "gand", "e", q="SELECT a.dim::INT AS key, sum(weight * (a.value - b.value) * (a.value - b.value)) / 2 AS q FROM gand JOIN e a ON src = a.cell_id JOIN e b ON dst = b.cell_id AND a.dim = b.dim GROUP BY 1",
         s="SELECT dim::INT AS key, count(*) AS n, var_pop(value) AS v FROM e GROUP BY 1", f="SELECT key, (n - 1) * q / (2 * (SELECT sum(weight) FROM gand) * n * v) AS c FROM q JOIN s USING (key)",
     ),
     "categorical_phi_z": _sql(
@@ -274,8 +277,8 @@ ORACLES: dict[str, str] = {
     ),
     "landmark_cells": _sql("SELECT dim::INT AS arch, cell_id FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY round(value, 9) DESC, cell_id) AS r FROM (SELECT *, max(round(value, 1)) OVER (PARTITION BY dim) AS top FROM e) WHERE round(value, 1) >= top - 1e-6 AND value > 0) WHERE r = 1", "e"),
     "cell_scores_from_enrichment": _sql(
-        f"SELECT cell_id, ex.label, {_r('sum(abs(value) * x)')} AS value FROM e JOIN ex USING (dim) GROUP BY ALL".replace("e JOIN ex", "(SELECT cell_id, dim, value FROM e WHERE dim < 10) JOIN ex"), "e",
-        m="SELECT dim, label, avg(abs(value)) AS v FROM e WHERE dim < 10 GROUP BY ALL", ex="SELECT dim, label, exp(greatest(-3, least(3, (v - avg(v) OVER ()) / stddev_samp(v) OVER ()))) AS x FROM m",
+        f"SELECT cell_id, ex.label, {_r('sum(abs(value) * x)')} AS value FROM (SELECT cell_id, dim, value FROM e) JOIN ex USING (dim) GROUP BY ALL", "e",
+        m="SELECT dim, label, avg(abs(value)) AS v FROM e GROUP BY ALL", ex="SELECT dim, label, exp(greatest(-3, least(3, (v - avg(v) OVER ()) / stddev_samp(v) OVER ()))) AS x FROM m",
     ),
     "annotation_wide": _sql("SELECT cell_id, nat.label AS nation, reg.label AS region FROM nat JOIN reg USING (cell_id)", "nat", "reg"),
     "set_overlap": _sql(
@@ -298,7 +301,7 @@ ORACLES: dict[str, str] = {
         v="SELECT cluster, label, CASE WHEN k > q THEN coalesce(nb * (CASE WHEN k > 0 THEN k * ln(k / q) ELSE 0 END + CASE WHEN k < 1 THEN (1 - k) * ln((1 - k) / (1 - q)) ELSE 0 END), 0) ELSE 0 END AS value FROM f",
     ),
     "selected_means": _sql(f"SELECT feature_id, label, {_r('sum(value) / any_value(n)')} AS value FROM y JOIN nat USING (cell_id) JOIN (SELECT label, count(*) AS n FROM nat GROUP BY 1) USING (label) WHERE feature_id IN (SELECT p_partkey FROM part WHERE p_size <= 5) GROUP BY ALL", "y", "nat"),
-    "signature_profile": _sql(f"SELECT e.cell_id AS feature_id, p.label AS arch, {_r('sum(e.value * p.v)')} AS value FROM e JOIN p USING (dim) WHERE e.cell_id < 50 GROUP BY ALL", "e", p="SELECT label, dim, sum(0.01 * value) AS v FROM e GROUP BY ALL"),
+    "signature_profile": _sql(f"SELECT e.cell_id AS feature_id, p.label AS arch, {_r('sum(e.value * p.v)')} AS value FROM e JOIN p USING (dim) GROUP BY ALL", "e", p="SELECT label, dim, sum(0.01 * value) AS v FROM e GROUP BY ALL"),
     "rgb_to_lab": _sql(f"SELECT cell_id, {_r('l')} AS l, {_r('ca')} AS a, {_r('cb')} AS b FROM lch", "lch"),
     "lab_to_rgb": _sql(f"SELECT cell_id, {_r('r')} AS r, {_r('g')} AS g, {_r('b')} AS b FROM gam", src_="SELECT vec_id AS cell_id, 50 + 100 * embedding[1]::DOUBLE AS l, 60 * embedding[2]::DOUBLE AS ca, 60 * embedding[3]::DOUBLE AS cb FROM embeddings", **_lab_to_rgb("src_", "cell_id")),
     "color_blend": _sql(f'SELECT grp AS "group", {_r("greatest(0, least(1, r))")} AS r, {_r("greatest(0, least(1, g))")} AS g, {_r("greatest(0, least(1, b))")} AS b FROM gam', "lch", mean_="SELECT grp, avg(l) AS l, avg(ca) AS ca, avg(cb) AS cb FROM lch GROUP BY 1", **_lab_to_rgb("mean_", "grp")),

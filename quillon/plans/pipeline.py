@@ -97,15 +97,7 @@ def impute(edges: DataFrame, assay: DataFrame, features: DataFrame, alpha: float
     start = x.select(F.col("feature_id").alias("key"), F.col("cell_id").alias("v"), "value")
     y = graph.pagerank(edges, start, start.select("v").distinct(), alpha, max_it)
     if prune:
-        parts = []
-        for r in features.select("feature_id").collect():  # the genes asked for, a short list
-            one = y.where(F.col("key") == r[0]).select("v", F.col("value").alias("score"))
-            cut = graph.sweep_cut(edges, one)
-            stop = cut.orderBy("conductance", "rank").limit(1).select(F.col("rank").alias("stop"))
-            parts.append(cut.crossJoin(F.broadcast(stop)).where("rank <= stop").select(F.lit(r[0]).alias("key"), "v"))
-        kept = parts[0]
-        for p in parts[1:]:
-            kept = kept.union(p)
+        kept = graph.least_cut(edges, y.withColumnRenamed("value", "score"))
         y = y.join(kept, ["key", "v"], "left_semi")
     if rescale:
         top, most = x.groupBy("feature_id").agg(F.max("value").alias("top")), y.groupBy("key").agg(F.max("value").alias("most"))
@@ -129,11 +121,9 @@ def set_activity(edges: DataFrame, assay: DataFrame, features: DataFrame, alpha:
 def prune_scores(edges: DataFrame, scores: DataFrame, alpha: float = 0.9) -> DataFrame:
     """(v, score): scores clipped at 0, diffused, and 0 outside the cut of least conductance."""
     start = scores.select(F.lit(0).alias("key"), "v", F.greatest("score", F.lit(0.0)).alias("value"))
-    y = graph.pagerank(edges, start, scores.select("v"), alpha, 5).select("v", F.col("value").alias("score"))
-    cut = materialize(graph.sweep_cut(edges, y), "sweep")
-    stop = cut.orderBy("conductance", "rank").limit(1).select(F.col("rank").alias("stop"))
-    inside = cut.crossJoin(F.broadcast(stop)).select("v", (F.col("rank") <= F.col("stop")).alias("inside"))
-    return y.join(inside, "v").select("v", F.when(F.col("inside"), F.col("score")).otherwise(0.0).alias("score"))
+    y = graph.pagerank(edges, start, scores.select("v"), alpha, 5).withColumnRenamed("value", "score")
+    inside = graph.least_cut(edges, y).withColumn("inside", F.lit(True))
+    return y.join(inside, ["key", "v"], "left").select("v", F.when(F.col("inside"), F.col("score")).otherwise(0.0).alias("score"))
 
 
 def archetype_cells(edges: DataFrame, h: DataFrame, arch: int, alpha: float = 0.9) -> DataFrame:

@@ -74,9 +74,9 @@ def vector_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "label")
 
 
-def dims(spark: SparkSession, d: str, most: int = 64) -> DataFrame:
+def dims(spark: SparkSession, d: str) -> DataFrame:
     """(cell_id, dim, value)."""
-    return linalg.dense(vectors(spark, d), "cell_id", "vec").where(F.col("dim") < most)
+    return linalg.dense(vectors(spark, d), "cell_id", "vec")
 
 
 def simplex(spark: SparkSession, d: str) -> DataFrame:
@@ -343,7 +343,7 @@ def harmonic_p_bh(spark, d):
 
 @query
 def phenotype_enrichment_analytic(spark, d):
-    h = dims(spark, d, 16).select("cell_id", F.col("dim").alias("arch"), "value")
+    h = dims(spark, d).select("cell_id", F.col("dim").alias("arch"), "value")
     w = dims(spark, d).where("dim = 20").select("cell_id", F.abs("value").alias("weight"))
     return rows(specificity.phenotype_enrichment(h, w), "arch", z="z")
 
@@ -407,25 +407,26 @@ def pagerank_step(spark, d):
 def impute_step(spark, d):
     from quillon.plans.pipeline import impute
 
-    x = dims(spark, d, 3).select(F.col("dim").alias("feature_id"), "cell_id", F.greatest(F.col("value"), F.lit(0.0)).alias("value"))
+    x = dims(spark, d).select(F.col("dim").alias("feature_id"), "cell_id", F.greatest(F.col("value"), F.lit(0.0)).alias("value"))
     return rows(impute(undirected(spark, d), x, x.select("feature_id").distinct(), max_it=1), "feature_id", "cell_id", value="value")
 
 
 @query
 def sweep_cut(spark, d):
-    s = dims(spark, d, 1).select(F.col("cell_id").alias("v"), F.col("value").alias("score"))
-    return rows(graph.sweep_cut(undirected(spark, d), s).where("conductance < double('Infinity')"), "v", "rank", conductance="conductance")
+    s = dims(spark, d).select(F.col("dim").alias("key"), F.col("cell_id").alias("v"), F.col("value").alias("score"))
+    cut = graph.sweep_cut(undirected(spark, d), s).where("conductance < double('Infinity')")
+    return rows(cut, "key", "v", "rank", conductance="conductance")
 
 
 @query
 def moran_backbone(spark, d):
-    h = dims(spark, d, 6).select("cell_id", F.col("dim").alias("arch"), "value")
+    h = dims(spark, d).select("cell_id", F.col("dim").alias("arch"), "value")
     return rows(graph.moran_backbone(graph.normalize_in(directed(spark, d)), h, table(spark, d, "embeddings").count()), "a", "b", value="value")
 
 
 @query
 def geary_autocorrelation(spark, d):
-    x = dims(spark, d, 6).select(F.col("dim").alias("key"), F.col("cell_id").alias("v"), "value")
+    x = dims(spark, d).select(F.col("dim").alias("key"), F.col("cell_id").alias("v"), "value")
     return rows(graph.geary(undirected(spark, d), x), "key", c="c", autocorrelation="autocorrelation")
 
 
@@ -468,7 +469,7 @@ def landmark_cells(spark, d):
 
 @query
 def cell_scores_from_enrichment(spark, d):
-    x = dims(spark, d, 10).select("cell_id", F.col("dim").alias("arch"), F.abs("value").alias("value"))
+    x = dims(spark, d).select("cell_id", F.col("dim").alias("arch"), F.abs("value").alias("value"))
     e = x.join(vector_labels(spark, d).withColumnRenamed("v", "cell_id"), "cell_id").groupBy("arch", "label").agg(F.avg("value").alias("value"))
     return rows(labels.cell_scores(x, e), "cell_id", "label", value="value")
 
@@ -516,7 +517,7 @@ def selected_means(spark, d):
 @query
 def signature_profile(spark, d):
     v = vectors(spark, d)
-    load = v.where("cell_id < 50").select(F.col("cell_id").alias("feature_id"), "vec")
+    load = v.select(F.col("cell_id").alias("feature_id"), "vec")
     c = table(spark, d, "embeddings").select(F.col("label").alias("arch"), F.col("vec_id").alias("cell_id"), F.lit(0.01).alias("value"))
     return rows(annotate.signature_profile(load, v, c), "feature_id", "arch", value="value")
 

@@ -297,3 +297,24 @@ def test_archetypes_of_many_cells_are_those_of_one_task(spark, batched):
     unit = x / x.sum(1, keepdims=True)
     assert batched or np.abs(c @ unit - c1 @ unit).max() < 0.002  # the mixtures of one point are many
     assert batched or all(c[3, :, 297 + i].max() > 0.99 for i in range(3))
+
+
+def test_least_cut_of_each_key(spark):
+    """Sets of least conductance, key by key, are those of a walk over the ranks."""
+    rng = np.random.default_rng(11)
+    n = 40
+    w = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.2), 1)
+    w[:20, 20:] *= 0.05
+    w += w.T
+    scores = {"near": np.where(np.arange(n) < 20, 2, 1) + rng.random(n) / 2, "any": rng.random(n)}
+    edges = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(n) for j in range(n) if w[i, j]], "src long, dst long, weight double")
+    rows = [(k, v, float(x)) for k, s in scores.items() for v, x in enumerate(s)]
+    got = graph.least_cut(edges, spark.createDataFrame(rows, "key string, v long, score double")).collect()
+    for k, s in scores.items():
+        order = np.argsort(-np.round(s, 9), kind="stable")
+        cost = {}
+        for r in range(5, n - 6):
+            top, rest = order[: r + 1], order[r + 1 :]
+            cost[r] = w[np.ix_(top, rest)].sum() / min(w[top].sum(), w[rest].sum())
+        best = min(cost, key=cost.get)
+        assert {r.v for r in got if r.key == k} == set(order[: best + 1].tolist()), k
