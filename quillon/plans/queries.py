@@ -84,12 +84,19 @@ def simplex(spark: SparkSession, d: str) -> DataFrame:
 
 
 def directed(spark: SparkSession, d: str) -> DataFrame:
-    p = simplex(spark, d)
-    return graph.adaptive_edges(graph.nearest(p, graph.neighbour_count(p.count())))
+    """Lists of edges by dst."""
+    p = materialize(simplex(spark, d), "simplex")
+    return graph.adaptive_lists(p, graph.neighbour_count(p.count()))
+
+
+def mutual(spark: SparkSession, d: str, method: str = "AND") -> DataFrame:
+    """Lists of edges by dst."""
+    p = materialize(simplex(spark, d), "simplex")
+    return graph.mutual_lists(p, graph.neighbour_count(p.count()), method)
 
 
 def undirected(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(graph.symmetrize(materialize(directed(spark, d), "directed"), "AND"), "graph")
+    return graph.unroll(materialize(mutual(spark, d), "graph"))
 
 
 # --- sources and filters ------------------------------------------------------------------------------
@@ -368,22 +375,22 @@ def knn_jsd(spark, d):
 
 @query
 def kstar_graph(spark, d):
-    return rows(directed(spark, d), "src", "dst", weight="weight")
+    return rows(graph.unroll(directed(spark, d)), "src", "dst", weight="weight")
 
 
 @query
 def graph_and(spark, d):
-    return rows(undirected(spark, d), "src", "dst", weight="weight")
+    return rows(graph.unroll(mutual(spark, d)), "src", "dst", weight="weight")
 
 
 @query
 def graph_or(spark, d):
-    return rows(graph.symmetrize(materialize(directed(spark, d), "directed"), "OR"), "src", "dst", weight="weight")
+    return rows(graph.unroll(mutual(spark, d, "OR")), "src", "dst", weight="weight")
 
 
 @query
 def graph_asym(spark, d):
-    return rows(graph.normalize_in(directed(spark, d)), "src", "dst", weight=("weight", 9))
+    return rows(graph.unroll(graph.normalize_lists(directed(spark, d))), "src", "dst", weight=("weight", 9))
 
 
 @query
@@ -421,7 +428,7 @@ def sweep_cut(spark, d):
 @query
 def moran_backbone(spark, d):
     h = dims(spark, d).select("cell_id", F.col("dim").alias("arch"), "value")
-    return rows(graph.moran_backbone(graph.normalize_in(directed(spark, d)), h, table(spark, d, "embeddings").count()), "a", "b", value="value")
+    return rows(graph.moran_backbone(graph.unroll(graph.normalize_lists(directed(spark, d))), h, table(spark, d, "embeddings").count()), "a", "b", value="value")
 
 
 @query
