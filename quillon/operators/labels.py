@@ -23,7 +23,7 @@ def local_enrichment(p: DataFrame, labels: DataFrame, n_labels: int | None = Non
     total = known.agg(F.count("*").alias("n"))
     share = share.crossJoin(F.broadcast(total)).select("label", (F.col("c") / F.col("n")).alias("share"))
     facts = p.groupBy("src").agg(F.sum(F.col("weight") * F.col("weight")).alias("w2"), F.max("weight").alias("a"))
-    obs = p.join(known.toDF("dst", "label"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("o"))
+    obs = p.join(F.broadcast(known.toDF("dst", "label")), "dst").groupBy("src", "label").agg(F.sum("weight").alias("o"))
     mass = F.sum("o").over(Window.partitionBy("src"))
     obs = obs.withColumn("o", F.col("o") / mass).join(facts, "src").join(F.broadcast(share), "label")
     return obs.select(F.col("src").alias("v"), "label", chernoff(F.col("o"), F.col("share"), F.col("w2") * F.col("share"), F.col("a"), natural=True).alias("value"))
@@ -129,7 +129,7 @@ def annotations_wide(store: DataFrame, names: list[str] | None = None) -> DataFr
 def highlight(edges: DataFrame, labels: DataFrame, z_threshold: float = -1.0) -> DataFrame:
     """(v, label, z, core): PageRank by core number inside each label's subgraph, robustly standardized;
     cells alone in their label have -3."""
-    e = edges.join(labels.toDF("src", "la"), "src").join(labels.toDF("dst", "lb"), "dst").where("la = lb").select("src", "dst", "weight", F.col("la").alias("label"))
+    e = edges.join(F.broadcast(labels.toDF("src", "la")), "src").join(F.broadcast(labels.toDF("dst", "lb")), "dst").where("la = lb").select("src", "dst", "weight", F.col("la").alias("label"))
     inner = materialize(e, "highlight-edges")
     core = graph.k_core(inner).select("v", F.col("core").cast("double").alias("value"))
     start = core.join(labels, "v").select(F.col("label").alias("key"), "v", "value")

@@ -95,8 +95,14 @@ def mutual(spark: SparkSession, d: str, method: str = "AND") -> DataFrame:
     return graph.mutual_lists(p, graph.neighbour_count(p.count()), method)
 
 
+def linked(spark: SparkSession, d: str) -> DataFrame:
+    """The graph in both directions, as lists."""
+    return materialize(mutual(spark, d), "graph")
+
+
 def undirected(spark: SparkSession, d: str) -> DataFrame:
-    return graph.unroll(materialize(mutual(spark, d), "graph"))
+    """The graph in both directions, as edges."""
+    return graph.outgoing(linked(spark, d))
 
 
 # --- sources and filters ------------------------------------------------------------------------------
@@ -407,7 +413,7 @@ def _label_start(spark, d):
 @query
 def pagerank_step(spark, d):
     x = _label_start(spark, d)
-    return rows(graph.pagerank_step(undirected(spark, d), x, x, x.select("v")), "key", "v", value=("value", 9))
+    return rows(graph.pagerank_step(linked(spark, d), x, x, x.select("v")), "key", "v", value=("value", 9))
 
 
 @query
@@ -415,26 +421,26 @@ def impute_step(spark, d):
     from quillon.plans.pipeline import impute
 
     x = dims(spark, d).select(F.col("dim").alias("feature_id"), "cell_id", F.greatest(F.col("value"), F.lit(0.0)).alias("value"))
-    return rows(impute(undirected(spark, d), x, x.select("feature_id").distinct(), max_it=1), "feature_id", "cell_id", value="value")
+    return rows(impute(linked(spark, d), x, x.select("feature_id").distinct(), max_it=1), "feature_id", "cell_id", value="value")
 
 
 @query
 def sweep_cut(spark, d):
     s = dims(spark, d).select(F.col("dim").alias("key"), F.col("cell_id").alias("v"), F.col("value").alias("score"))
-    cut = graph.sweep_cut(undirected(spark, d), s).where("conductance < double('Infinity')")
+    cut = graph.sweep_cut(linked(spark, d), s).where("conductance < double('Infinity')")
     return rows(cut, "key", "v", "rank", conductance="conductance")
 
 
 @query
 def moran_backbone(spark, d):
     h = dims(spark, d).select("cell_id", F.col("dim").alias("arch"), "value")
-    return rows(graph.moran_backbone(graph.unroll(graph.normalize_lists(directed(spark, d))), h, table(spark, d, "embeddings").count()), "a", "b", value="value")
+    return rows(graph.moran_backbone(materialize(graph.normalize_lists(directed(spark, d)), "lists-in"), h, table(spark, d, "embeddings").count()), "a", "b", value="value")
 
 
 @query
 def geary_autocorrelation(spark, d):
     x = dims(spark, d).select(F.col("dim").alias("key"), F.col("cell_id").alias("v"), "value")
-    return rows(graph.geary(undirected(spark, d), x), "key", c="c", autocorrelation="autocorrelation")
+    return rows(graph.geary(linked(spark, d), x), "key", c="c", autocorrelation="autocorrelation")
 
 
 @query
@@ -614,7 +620,7 @@ def unify(spark, d):
 @query
 def pagerank(spark, d):
     x = _label_start(spark, d)
-    return graph.pagerank(undirected(spark, d), x, x.select("v"))
+    return graph.pagerank(linked(spark, d), x, x.select("v"))
 
 
 @query
