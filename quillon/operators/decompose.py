@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -602,10 +603,52 @@ def orthogonal_part(a: np.ndarray, s: np.ndarray) -> np.ndarray:
     return scale(z - q @ (q.T @ z))
 
 
+def _moved(cells: DataFrame, pairs: DataFrame, width: float) -> DataFrame:
+    """``cells(cell_id, vec)`` moved by the kernel average of vx - vy over ``pairs(x, y, vx, vy)``. The shifts of one y
+    are added up, and blocks of these pass each block of cells."""
+    kind, dims = dict(cells.dtypes)["cell_id"], int(cells.select(F.size("vec")).first()[0])
+    total = F.aggregate(F.collect_list("vx"), F.array_repeat(F.lit(0.0), dims), lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
+    by_cell = pairs.groupBy("y").agg(F.first("vy").alias("vy"), total.alias("sum"), F.count("*").cast("double").alias("n"))
+    shifts = materialize(by_cell.select(F.col("y").alias("cell_id"), F.concat("vy", F.zip_with("sum", "vy", lambda s, v: s - F.col("n") * v), F.array("n")).alias("p")), "shifts")
+    spots = shifts.select(F.col("p")[2 * dims].alias("n"), F.posexplode(F.slice("p", 1, dims)).alias("dim", "v"))
+    mean = spots.groupBy("dim").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("mean"))
+    gap = F.col("v") - F.col("mean")
+    var = spots.join(F.broadcast(mean), "dim").groupBy("dim").agg((F.sum(F.col("n") * gap * gap) / F.sum("n")).alias("var")).agg(F.sum("var")).first()[0]
+    scale = width * max(float(var), 1e-12)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> Iterator[pa.RecordBatch]:
+            out = x + moved / weight[:, None]
+            offsets = pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_pydict({"cell_id": own, "vec": pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))})
+
+        own = None
+        for b in batches:
+            mine, raw, ids, p = (b.column(c) for c in ("l_ids", "l_p", "ids", "p"))
+            for r in range(b.num_rows):
+                if mine[r].is_valid:
+                    if own is not None:
+                        yield from close()
+                    own = mine[r].values
+                    x = np.frombuffer(raw[r].as_buffer(), float).reshape(len(own), -1).copy()
+                    least, moved, weight = np.full(len(x), np.inf), np.zeros(x.shape), np.zeros(len(x))
+                y = np.frombuffer(p[r].as_buffer(), float).reshape(len(ids[r].values), -1)
+                at, shift, n = y[:, :dims], y[:, dims:-1], y[:, -1]
+                d = (x * x).sum(1)[:, None] + (at * at).sum(1)[None] - 2 * x @ at.T
+                low = np.minimum(least, d.min(axis=1))
+                old = np.exp(-(least - low) / scale)
+                g = np.exp(-(d - low[:, None]) / scale)
+                moved, weight, least = moved * old[:, None] + g @ shift, weight * old + g @ n, low
+        if own is not None:
+            yield from close()
+
+    left = graph._blocks(cells.select("cell_id", F.col("vec").alias("p")), finite=False)
+    return graph._against(left, graph._blocks(shifts)).mapInArrow(run, f"cell_id {kind}, vec array<double>")
+
+
 def mutual_neighbours_correction(cells: DataFrame, batches: DataFrame, k: int = 20, width: float = 0.1) -> DataFrame:
     """(cell_id, vec): batches merged in turn, the largest first: pairs that are among each other's k
-    nearest give shifts, and each cell moves by their kernel average. Pairs of a merge travel with the
-    task, at most k for each cell of the smaller batch."""
+    nearest give shifts, and each cell moves by their kernel average."""
     kind = dict(cells.dtypes)["cell_id"]
     order = [r["batch"] for r in batches.groupBy("batch").count().orderBy(F.desc("count"), "batch").collect()]
     placed = cells.join(batches.select("cell_id", "batch"), "cell_id").select("cell_id", F.transform(F.col("vec").cast("array<double>"), lambda x: x).alias("vec"), "batch")
@@ -615,19 +658,8 @@ def mutual_neighbours_correction(cells: DataFrame, batches: DataFrame, k: int =
         old, fresh = (m.select("cell_id", F.col("vec").alias("p")) for m in (merged, new))
         a = graph.nearest(old, k, "l2", targets=fresh).select(F.col("cell_id").alias("x"), F.col("neighbour").alias("y"))
         c = graph.nearest(fresh, k, "l2", targets=old).select(F.col("cell_id").alias("y"), F.col("neighbour").alias("x"))
-        pairs = a.join(c, ["x", "y"]).join(merged.toDF("x", "vx"), "x").join(new.toDF("y", "vy"), "y").select("vx", "vy").toPandas()
-        if len(pairs):
-            at, to = np.stack(pairs["vy"].to_numpy()), np.stack(pairs["vx"].to_numpy())
-
-            def move(parts: Iterator[pd.DataFrame], at=at, to=to) -> Iterator[pd.DataFrame]:
-                scale = width * max(float(at.var(axis=0).sum()), 1e-12)
-                for p in parts:
-                    if len(p):
-                        x = np.stack(p["vec"].to_numpy())
-                        d = (x * x).sum(1)[:, None] + (at * at).sum(1)[None] - 2 * x @ at.T
-                        g = np.exp(-(d - d.min(axis=1, keepdims=True)) / scale)
-                        yield pd.DataFrame({"cell_id": p["cell_id"], "vec": list(x + (g @ (to - at)) / g.sum(axis=1, keepdims=True))})
-
-            new = new.mapInPandas(move, f"cell_id {kind}, vec array<double>")
+        pairs = materialize(a.join(c, ["x", "y"]), "mutual")
+        if not pairs.isEmpty():
+            new = _moved(new, pairs.join(merged.toDF("x", "vx"), "x").join(new.toDF("y", "vy"), "y"), width)
         merged = materialize(merged.unionByName(new), "merged")
     return merged
