@@ -3,10 +3,17 @@ are never stored. Means and variances divide by the full dimension, not by the s
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import ratio
+from quillon.tables import materialize
 
 
 def marginals(assay: DataFrame, by: str, n: int) -> DataFrame:
@@ -44,9 +51,18 @@ def zscore(rows: DataFrame, by: str = "dim") -> DataFrame:
     return rows.join(s, by).withColumn("value", ratio(F.col("value") - F.col("m"), F.col("s"))).drop("m", "s")
 
 
+#: Columns up to which correlation joins rows with themselves, and stored entries of a block of columns beyond.
+FEW_COLUMNS, ENTRIES = 1024, 2_500_000
+
+
 def correlation(assay: DataFrame, over: str, of: str, n: int) -> DataFrame:
     """(a, b, value) for a < b: Pearson correlation of the columns ``of`` across ``n`` rows ``over``, zeros
-    included, from sums alone. Columns without a shared row correlate by their marginals."""
+    included, from sums alone. Columns without a shared row correlate by their marginals.
+
+    Beyond a few columns the pairs are made block by block: a task gets the rows that have a column of its block,
+    from that column on, and writes the block's pairs as they are; pairs are neither joined nor shuffled."""
+    if assay.select(of).distinct().limit(FEW_COLUMNS + 1).count() > FEW_COLUMNS:
+        return _blocked_correlation(assay, over, of, n)
     m = assay.groupBy(of).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     x = assay.select(over, F.col(of).alias("a"), F.col("value").alias("x"))
     y = assay.select(over, F.col(of).alias("b"), F.col("value").alias("y"))
@@ -58,6 +74,98 @@ def correlation(assay: DataFrame, over: str, of: str, n: int) -> DataFrame:
     return pairs.select("a", "b", ratio(cov, scale).alias("value"))
 
 
+def _blocked_correlation(assay: DataFrame, over: str, of: str, n: int) -> DataFrame:
+    kind = dict(assay.dtypes)[of]
+    entry = F.struct(F.col(of).alias("c"), F.col("value").cast("double").alias("x"))
+    lists = materialize(assay.where(F.col(of).isNotNull()).groupBy(over).agg(F.collect_list(entry).alias("e")).select("e"), "rows")
+    flat = lists.select(F.explode("e").alias("e")).select("e.c", "e.x")
+    stats = flat.groupBy("c").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("k")).orderBy("c").toArrow()
+    ids = stats.column("c").combine_chunks()
+    s, q = (stats.column(c).to_numpy() for c in ("s", "q"))
+    columns, blocks = len(ids), max(16, -(-int(stats.column("k").to_numpy().sum()) // ENTRIES))
+    cuts = np.unique((columns * (1 - np.sqrt(1 - np.arange(blocks + 1) / blocks))).astype(int))  # as many pairs in each
+    place = ids.to_numpy(zero_copy_only=False)
+    place = np.array(place.tolist(), dtype=str) if place.dtype == object else place
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e = b.column("e")
+            if not b.num_rows:
+                continue
+            sizes = pc.list_value_length(e).to_numpy(zero_copy_only=False).astype(np.int64)
+            inner = e.flatten()
+            c = inner.field("c").to_numpy(zero_copy_only=False)
+            p = np.searchsorted(place, np.array(c.tolist(), dtype=str) if c.dtype == object else c).astype(np.int32)
+            x = inner.field("x").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((p, row))
+            p, x, end = p[order], x[order], np.cumsum(sizes)
+            block = np.searchsorted(cuts, p, "right") - 1
+            first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (row[1:] != row[:-1])]))
+            for g in np.unique(block[first]).tolist():
+                lo = first[block[first] == g]
+                length = end[row[lo]] - lo
+                take = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+                raw = length.astype(np.int32).tobytes() + p[take].tobytes() + x[take].tobytes()
+                yield pa.RecordBatch.from_pydict({"g": pa.array([g], pa.int32()), "rows": pa.array([len(lo)], pa.int32()), "raw": pa.array([zlib.compress(raw, 1)], pa.binary())})
+
+    def block_pairs(g: int, parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        lengths, ps, xs = [], [], []
+        while parts:
+            k, raw = parts.pop()
+            raw = zlib.decompress(raw)
+            lengths.append(np.frombuffer(raw, np.int32, k))
+            total = int(lengths[-1].sum())
+            ps.append(np.frombuffer(raw, np.int32, total, 4 * k))
+            xs.append(np.frombuffer(raw[4 * (k + total) :], float, total))
+        p, x = (np.concatenate(v) if v else np.empty(0, t) for v, t in ((ps, np.int32), (xs, float)))
+        stop = np.cumsum(np.concatenate(lengths)) if lengths else np.empty(0, int)
+        lo, hi = int(cuts[g]), int(cuts[g + 1])
+        mine = np.flatnonzero(p < hi)
+        mine = mine[np.argsort(p[mine], kind="stable")]
+        ends, key = stop[np.searchsorted(stop, mine, "right")] if len(mine) else mine, p[mine]
+        step = max(1, 4_000_000 // columns)
+        for a in range(lo, hi, step):
+            z = min(a + step, hi)
+            width = columns - a
+            xy = np.zeros((z - a) * width)
+            span = np.arange(*np.searchsorted(key, [a, z]))
+            for some in np.array_split(span, 1 + int((ends[span] - mine[span]).sum()) // 2_000_000):
+                start, length = mine[some], ends[some] - mine[some]
+                if not len(start):
+                    continue
+                take = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+                where = np.repeat((p[start] - a).astype(np.int64) * width, length) + (p[take] - a)
+                np.add.at(xy, where, np.repeat(x[start], length) * x[take])
+            xy = xy.reshape(z - a, width)
+            for i in range(a, z):
+                j = slice(i + 1, columns)
+                cov = n * xy[i - a, i + 1 - a :] - s[i] * s[j]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    scale = np.sqrt((n * q[i] - s[i] * s[i]) * (n * q[j] - s[j] * s[j]))
+                    value = np.where((scale != 0) & np.isfinite(scale), cov / scale, 0.0)
+                for w in range(0, len(value), 1 << 20):
+                    some = value[w : w + (1 << 20)]
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([ids[i].as_py()] * len(some) if not pa.types.is_integer(ids.type) else np.full(len(some), place[i]), ids.type), "b": ids.slice(i + 1 + w, len(some)), "value": pa.array(some)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            for g, k, raw in zip(*(b.column(c).to_pylist() for c in ("g", "rows", "raw")), strict=True):
+                if now is not None and g != now:
+                    yield from block_pairs(now, parts)
+                    parts = []
+                now = g
+                if k:
+                    parts.append((k, raw))
+        if now is not None:
+            yield from block_pairs(now, parts)
+
+    dealt = lists.mapInArrow(deal, "g int, rows int, raw binary")
+    every = lists.sparkSession.range(len(cuts) - 1).select(F.col("id").cast("int").alias("g"), F.lit(0).alias("rows"), F.lit(b"").alias("raw"))
+    return dealt.union(every).repartition(max(1, len(cuts) - 1), "g").sortWithinPartitions("g").mapInArrow(run, f"a {kind}, b {kind}, value double")
+
+
 def outer(p: DataFrame, q: DataFrame) -> DataFrame:
     """The outer product of two short vectors (id_p, p) and (id_q, q)."""
     return p.crossJoin(q).withColumn("value", F.col("p") * F.col("q"))
