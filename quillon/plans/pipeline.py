@@ -163,7 +163,7 @@ def feature_network(scores: DataFrame, interactome: DataFrame, least: float = 2.
 
     w = Window.partitionBy("group")
     r = scores.withColumn("r", (F.rank().over(w.orderBy("value")) - 0.5) / F.count("*").over(w)).select("feature_id", "group", quantile("r").alias("z"))
-    e = interactome.where("src < dst").join(r.toDF("src", "group", "zs"), "src").join(r.toDF("dst", "group2", "zd"), "dst").where("group = group2")
+    e = interactome.where("src < dst").join(F.broadcast(r.toDF("src", "group", "zs")), "src").join(F.broadcast(r.toDF("dst", "group2", "zd")), "dst").where("group = group2")
     low = F.least("zs", "zd")
     tail = -F.log10(1.0 / (1.0 + F.exp(1.702 * low)))
     return e.select("group", "src", "dst", (F.col("weight") * 2 * tail).alias("weight")).where(F.col("weight") >= least)
