@@ -625,7 +625,7 @@ def pagerank(spark, d):
 
 @query
 def k_core(spark, d):
-    return graph.k_core(undirected(spark, d))
+    return graph.k_core(linked(spark, d))
 
 
 @query
