@@ -128,12 +128,15 @@ def annotations_wide(store: DataFrame, names: list[str] | None = None) -> DataFr
 
 def highlight(edges: DataFrame, labels: DataFrame, z_threshold: float = -1.0) -> DataFrame:
     """(v, label, z, core): PageRank by core number inside each label's subgraph, robustly standardized;
-    cells alone in their label have -3."""
-    e = edges.join(F.broadcast(labels.toDF("src", "la")), "src").join(F.broadcast(labels.toDF("dst", "lb")), "dst").where("la = lb").select("src", "dst", "weight", F.col("la").alias("label"))
-    inner = materialize(e, "highlight-edges")
+    cells alone in their label have -3. ``edges`` may be lists by dst of a graph that stores both directions."""
+    if graph._as_lists(edges):
+        inner = materialize(graph.within(edges, labels.where("label is not null").select("v", "label")), "highlight-lists", "zstd")
+    else:
+        e = edges.join(F.broadcast(labels.toDF("src", "la")), "src").join(F.broadcast(labels.toDF("dst", "lb")), "dst").where("la = lb").select("src", "dst", "weight", F.col("la").alias("label"))
+        inner = materialize(e, "highlight-edges")
     core = graph.k_core(inner).select("v", F.col("core").cast("double").alias("value"))
     start = core.join(labels, "v").select(F.col("label").alias("key"), "v", "value")
-    pr = graph.pagerank(inner.select("src", "dst", "weight"), start, labels.select("v"), 0.85, 10)
+    pr = graph.pagerank(inner.select("dst", "src", "weight"), start, labels.select("v"), 0.85, 10)
     z = robust_z(pr.select(F.col("key").alias("label"), "v", "value"), "label").select("v", "z")
     out = labels.join(z, "v", "left").withColumn("z", F.coalesce("z", F.lit(-3.0)))
     return out.select("v", "label", "z", (F.col("z") >= z_threshold).alias("core"))
