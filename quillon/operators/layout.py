@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import color
 from quillon.functions.scalars import ratio
+from quillon.operators import graph
 
 NEGATIVES, CLAMP = 5, 4.0
 
@@ -37,8 +38,12 @@ def curve(compactness: float) -> tuple[float, float]:
 
 def smooth_weights(edges: DataFrame) -> DataFrame:
     """(src, dst, weight): memberships exp(-(d - rho) / sigma), sigma such that they sum to log2 of the
-    degree, by 64 bisections a vertex in one expression; d = 1 - weight."""
-    d = edges.groupBy("dst").agg(F.collect_list(1.0 - F.col("weight")).alias("d"))
+    degree, by 64 bisections a vertex in one expression; d = 1 - weight. ``edges`` may be lists by dst, whose edges
+    stay in their rows."""
+    if graph._as_lists(edges):
+        d = edges.select("dst", "src", "weight", F.transform("weight", lambda w: 1.0 - w).alias("d"))
+    else:
+        d = edges.groupBy("dst").agg(F.collect_list(1.0 - F.col("weight")).alias("d"))
     d = d.withColumn("rho", F.array_min("d")).withColumn("goal", F.log2(F.greatest(F.size("d"), F.lit(2)).cast("double")))
 
     def total(s):
@@ -51,15 +56,18 @@ def smooth_weights(edges: DataFrame) -> DataFrame:
         low = total(mid) < F.col("goal")
         return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
 
-    s = d.withColumn("sigma", F.aggregate(F.sequence(F.lit(1), F.lit(40)), bounds, halve, lambda a: (a["lo"] + a["hi"]) / 2)).select("dst", "rho", "sigma")
+    s = d.withColumn("sigma", F.aggregate(F.sequence(F.lit(1), F.lit(40)), bounds, halve, lambda a: (a["lo"] + a["hi"]) / 2))
+    edges = graph.unroll_with(s, "rho", "sigma") if graph._as_lists(edges) else edges.join(s.select("dst", "rho", "sigma"), "dst")
     w = F.exp(-F.greatest(F.lit(0.0), (1.0 - F.col("weight")) - F.col("rho")) / F.col("sigma"))
-    return edges.join(s, "dst").select("src", "dst", F.greatest(F.lit(1e-16), w).alias("weight"))
+    return edges.select("src", "dst", F.greatest(F.lit(1e-16), w).alias("weight"))
 
 
 def optimize(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, start: np.ndarray, a: float, b: float, epochs: int, seed: int = 0) -> np.ndarray:
     """Stochastic gradient descent over edges in proportion to weight, with negative samples, the step
     falling to 0. Edges due in an epoch move together."""
     rng, x = np.random.default_rng(seed), start.astype(float).copy()
+    if not len(weight):
+        return x
     every = weight.max() / np.maximum(weight, 1e-12)
     live = every <= epochs
     src, dst, every = src[live], dst[live], every[live]
@@ -87,7 +95,8 @@ def optimize(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, start: np.nda
 def layout(edges: DataFrame, reduced: DataFrame, compactness: float = 50.0, epochs: int = 100, seed: int = 0) -> DataFrame:
     """(cell_id, x, y, x3, y3, z3): coordinates standardized by axis, from the first three components of
     ``reduced(cell_id, vec)``."""
-    smooth = smooth_weights(edges)
+    smooth = smooth_weights(edges)  # each vertex's nearest neighbour has weight 1
+    smooth = smooth.where(1.0 / F.greatest(F.col("weight"), F.lit(1e-12)) <= F.lit(float(epochs)))  # others are never due
     kind = dict(reduced.dtypes)["cell_id"]
     null = F.lit(None)
     rows = smooth.select("src", "dst", "weight", null.cast("array<double>").alias("vec")).union(reduced.select("cell_id", null.cast(kind), null.cast("double"), F.slice(F.col("vec").cast("array<double>"), 1, 3)))
