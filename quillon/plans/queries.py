@@ -434,7 +434,9 @@ def sweep_cut(spark, d):
 @query
 def moran_backbone(spark, d):
     h = dims(spark, d).select("cell_id", F.col("dim").alias("arch"), "value")
-    return rows(graph.moran_backbone(materialize(graph.normalize_lists(directed(spark, d)), "lists-in"), h, table(spark, d, "embeddings").count()), "a", "b", value="value")
+    p = materialize(simplex(spark, d), "simplex")
+    n = p.count()
+    return rows(graph.moran_backbone(graph.adaptive_shares(p, graph.neighbour_count(n)), h, n), "a", "b", value="value")
 
 
 @query
